@@ -22,7 +22,7 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.noise import route_noise
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
-from termloom.session import shared_folder
+from termloom.session import shared_folder, spread
 from termloom.sinks import reports
 from termloom.sinks.tables import append_keywords, append_scores
 from termloom.sources.sheets import read_sheet
@@ -142,7 +142,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as stored keywords; the source also stands in for the seed."""
-    return _read(spark, sf_dir, "documents").select(
+    return spread(_read(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("keyword"), "lang", "source",
         F.col("source").alias("seed"), F.col("doc_id").alias("ord"),
     )

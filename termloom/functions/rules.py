@@ -3,13 +3,13 @@ r"""Ordered rule tables compiled to built-in Column expressions.
 Evaluating a rule list as ``when(rlike(p1)) … when(rlike(pN))`` costs one regex
 search per rule and row, and the generated method grows past what the JVM
 compiles. Nearly all rules describe a finite set of words or phrases, so a table
-is compiled to ONE search instead:
+is compiled to at most TWO searches instead: one for literals that begin at a word
+start, one for literals that may begin anywhere. In each,
 
-* the text is lower-cased and every word is wrapped in a mark, which turns
-  ``\bword\b`` into a plain literal (``<mark>word<mark>``);
-* all literals of all rules form one prefix-sharing pattern, and a single
-  ``regexp_extract_all`` with a lookahead reports the longest literal starting at
-  every position; a literal also stands for the shorter ones it begins with;
+* all literals form one prefix-sharing pattern, behind a cheap test of two letters;
+* ``regexp_extract_all`` with a lookahead reports the longest literal at every
+  position, so that overlapping literals are all seen; a literal also stands for the
+  shorter ones it begins with;
 * the few distinct literals found are mapped to rule numbers.
 
 Rules that are not finite (``.+``, ``$``) keep their own ``rlike``.
@@ -24,25 +24,23 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "\u0001"
-WORD = r"[\p{L}\p{N}_]"
+WORD = r"[a-z0-9_\p{L}\p{N}]"  # the plain letters first: they are tested fastest
 MAX_LITERALS_PER_RULE = 64
 
-_WORD_RUN = re.compile(r"(\w+)")
 _PIECE = re.compile(
     r"\[(?P<set>[^\]\\^-]+)\](?P<set_opt>\??)"
     r"|\((?P<alts>[^()\[\]\\.*+?{}^$]+)\)(?P<alts_opt>\??)"
     r"|(?:\\(?P<escaped>[^\w\s])|(?P<plain>[^\\\[\](){}.*+?^$|]))(?P<char_opt>\??)"
 )
 _BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+_START, _END = f"(?<!{WORD})", f"(?!{WORD})"
 
 
-def finite_literals(pattern: str) -> list[str] | None:
-    """All marked literals a pattern can match, or None when they are not finite (or too many)."""
-    body = pattern.removeprefix(r"\b").removesuffix(r"\b")
+def finite_texts(pattern: str) -> list[str] | None:
+    r"""All texts a pattern can match between its outer ``\b``, or None when not finite."""
     choices, at = [], 0
-    while at < len(body):
-        piece = _PIECE.match(body, at)
+    while at < len(pattern):
+        piece = _PIECE.match(pattern, at)
         if piece is None:
             return None
         if piece["set"]:
@@ -58,44 +56,91 @@ def finite_literals(pattern: str) -> list[str] | None:
         size *= len(options)
     if size > MAX_LITERALS_PER_RULE:
         return None
-    left, right = pattern.startswith(r"\b"), pattern.endswith(r"\b")
-    literals = []
-    for parts in itertools.product(*choices):
-        text = "".join(parts)
-        if not text or text != text.lower():
-            return None
-        # a boundary mark is only a literal next to a word character
-        if (left and not _WORD_RUN.match(text[0])) or (right and not _WORD_RUN.match(text[-1])):
-            return None
-        marked = _WORD_RUN.sub(MARK + r"\1" + MARK, text)
-        if not left and marked.startswith(MARK):
-            marked = marked[1:]
-        if not right and marked.endswith(MARK):
-            marked = marked[:-1]
-        literals.append(marked)
-    return literals
-
-
-def shared_prefix_pattern(literals: Iterable[str]) -> str:
-    """One pattern that matches the longest of the literals starting at a position."""
-    tree: dict = {}
-    for literal in literals:
-        node = tree
-        for char in literal:
-            node = node.setdefault(char, {})
-        node[""] = {}
-
-    def render(node: dict) -> str:
-        branches = [re.escape(char) + render(below) for char, below in node.items() if char]
-        if not branches:
-            return ""
-        if len(branches) == 1 and "" not in node:
-            return branches[0]
-        group = "(?:" + "|".join(branches) + ")"
-        return group + "?" if "" in node else group
-
-    first = "".join(re.escape(char) for char in tree)
-    return f"(?=[{first}])(?=({render(tree)}))"
+    texts = ["".join(parts) for parts in itertools.product(*choices)]
+    # the text is searched in lower case, so another spelling could never match
+    return texts if all(text and text == text.lower() for text in texts) else None
+
+
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+class LiteralSearch:
+    """One search for many literals, all beginning at a word start or all anywhere."""
+
+    def __init__(self, at_word_start: bool):
+        self.at_word_start = at_word_start
+        self.ends_word: dict[str, bool] = {}
+        self.rules: dict[str, set[int]] = {}
+
+    def accepts(self, texts: list[str], ends_word: bool) -> bool:
+        """A found text must tell whether its end is a word end, so it may be listed one way only."""
+        outer = all(
+            (not self.at_word_start or _is_word(text[0])) and (not ends_word or _is_word(text[-1]))
+            for text in texts
+        )
+        return outer and all(self.ends_word.get(text, ends_word) == ends_word for text in texts)
+
+    def add(self, texts: list[str], ends_word: bool, number: int) -> None:
+        for text in texts:
+            self.ends_word[text] = ends_word
+            self.rules.setdefault(text, set()).add(number)
+
+    def freeze(self) -> None:
+        """Fix the literals, sorted by their first rule, with all rules each one stands for."""
+        meaning = {
+            text: sorted(set().union(*(self.rules[p] for p in self.rules if self._implies(text, p))))
+            for text in self.rules
+        }
+        self.literals = sorted(meaning, key=lambda text: (meaning[text][0], text))
+        self.numbers = [meaning[text] for text in self.literals]
+
+    def _implies(self, text: str, shorter: str) -> bool:
+        if text == shorter:
+            return True
+        return text.startswith(shorter) and not (
+            self.ends_word[shorter] and _is_word(text[len(shorter)])
+        )
+
+    def pattern(self) -> str:
+        tree: dict = {}
+        for text in self.literals:
+            node = tree
+            for char in text:
+                node = node.setdefault(char, {})
+            node["end"] = _END if self.ends_word[text] else ""
+
+        def chars(found: Iterable[str]) -> str:
+            return "[" + "".join(re.escape(char) for char in sorted(set(found))) + "]"
+
+        def render(node: dict) -> str:
+            below = {char: child for char, child in node.items() if char != "end"}
+            options = [re.escape(char) + render(child) for char, child in below.items()]
+            if len(options) > 3:
+                options = [f"(?={chars(below)})(?:{'|'.join(options)})"]
+            if "end" in node:
+                options.append(node["end"])
+            return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
+
+        test = chars(tree)
+        if all(len(text) > 1 for text in self.literals):
+            test += chars(text[1] for text in self.literals)
+        start = _START if self.at_word_start else ""
+        return f"{start}(?={test})(?=({render(tree)}))"
+
+    def found(self, lowered: Column) -> Column:
+        """Positions (1-based) in ``literals`` of the distinct literals found."""
+        known = F.array(*[F.lit(text) for text in self.literals])
+        texts = F.array_distinct(F.regexp_extract_all(lowered, F.lit(self.pattern()), F.lit(1)))
+        return F.transform(texts, lambda text: F.array_position(known, text).cast("int"))
+
+    def hits(self, lowered: Column) -> Column:
+        table = F.array(*[F.array(*[F.lit(n) for n in numbers]) for numbers in self.numbers])
+        return F.flatten(F.transform(self.found(lowered), lambda at: F.get(table, at - 1)))
+
+    def first_hit(self, lowered: Column) -> Column:
+        firsts = F.array(*[F.lit(numbers[0]) for numbers in self.numbers])
+        return F.get(firsts, F.array_min(self.found(lowered)) - 1)
 
 
 def as_java(pattern: str) -> str:
@@ -109,37 +154,24 @@ class RuleTable:
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.rules = list(rules)
         self.categories = list(dict.fromkeys(category for category, _ in self.rules))
-        by_literal: dict[str, set[int]] = {}
         self.open_rules: list[tuple[int, str]] = []
+        starting, anywhere = LiteralSearch(True), LiteralSearch(False)
         for number, (_, pattern) in enumerate(self.rules):
-            literals = finite_literals(pattern)
-            if literals is None:
+            search = starting if pattern.startswith(r"\b") else anywhere
+            ends_word = pattern.endswith(r"\b")
+            texts = finite_texts(pattern.removeprefix(r"\b").removesuffix(r"\b"))
+            if texts and search.accepts(texts, ends_word):
+                search.add(texts, ends_word, number)
+            else:
                 self.open_rules.append((number, pattern))
-                continue
-            for literal in literals:
-                by_literal.setdefault(literal, set()).add(number)
-        meaning = {
-            literal: sorted(
-                set().union(*(by_literal[p] for p in by_literal if literal.startswith(p)))
-            )
-            for literal in by_literal
-        }
-        # sorted by first rule, so that the smallest position is also the smallest rule number
-        self.literals = sorted(meaning, key=lambda literal: (meaning[literal][0], literal))
-        self.literal_rules = [meaning[literal] for literal in self.literals]
+        self.searches = [search for search in (starting, anywhere) if search.rules]
+        for search in self.searches:
+            search.freeze()
 
     @classmethod
     def of(cls, groups: dict[str, list[str]]) -> RuleTable:
         return cls((name, pattern) for name, patterns in groups.items() for pattern in patterns)
 
-    def _found(self, lowered: Column) -> Column:
-        """Positions (1-based) in ``literals`` of the distinct literals found."""
-        marked = F.regexp_replace(lowered, f"({WORD}+)", f"{MARK}$1{MARK}")
-        pattern = shared_prefix_pattern(self.literals)
-        known = F.array(*[F.lit(literal) for literal in self.literals])
-        found = F.array_distinct(F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)))
-        return F.transform(found, lambda literal: F.array_position(known, literal).cast("int"))
-
     def _open(self, lowered: Column) -> list[Column]:
         return [
             F.when(lowered.rlike(as_java(pattern)), F.lit(number))
@@ -148,24 +180,14 @@ class RuleTable:
 
     def hits(self, lowered: Column) -> Column:
         """Distinct numbers of all rules that match, as array<int>."""
-        parts = []
-        if self.literals:
-            table = F.array(
-                *[F.array(*[F.lit(n) for n in numbers]) for numbers in self.literal_rules]
-            )
-            found = F.transform(self._found(lowered), lambda at: F.get(table, at - 1))
-            parts.append(F.flatten(found))
+        parts = [search.hits(lowered) for search in self.searches]
         if self.open_rules:
             parts.append(F.array_compact(F.array(*self._open(lowered))))
         return F.array_distinct(F.concat(*parts))
 
     def first_hit(self, lowered: Column) -> Column:
         """Number of the first rule in list order that matches, or null."""
-        parts = []
-        if self.literals:
-            firsts = F.array(*[F.lit(numbers[0]) for numbers in self.literal_rules])
-            parts.append(F.get(firsts, F.array_min(self._found(lowered)) - 1))
-        parts += self._open(lowered)
+        parts = [search.first_hit(lowered) for search in self.searches] + self._open(lowered)
         return F.least(*parts) if len(parts) > 1 else parts[0]
 
     def first(self, lowered: Column, category: str = "category", pattern: str = "rule") -> Column:

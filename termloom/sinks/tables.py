@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators.keyed import only_new
-from termloom.schemas import KEYWORD_KEY
+from termloom.schemas import KEYWORD_KEY, KEYWORDS, SCORES
 from termloom.sources.tables import market_label, read_keywords, read_scores_table
 
 
+def ensure_table(spark: SparkSession, path: str, schema: str, partition: str) -> None:
+    """Create an empty table where there is none; an existing one is left alone."""
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("ignore").partitionBy(partition).parquet(path)
+
+
 def append_keywords(incoming: DataFrame, path: str, at: Column | None = None) -> int:
     """Append suggestions whose (keyword, lang, source) is not stored; returns their number.
 
@@ -19,6 +25,7 @@ def append_keywords(incoming: DataFrame, path: str, at: Column | None = None) ->
     executors, or a replayed stream batch, may simply be run again.
     """
     spark = incoming.sparkSession
+    ensure_table(spark, path, KEYWORDS, "lang")
     stored = read_keywords(spark, path)
     base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0))).scalar()
     new = only_new(incoming, stored, KEYWORD_KEY).select(
@@ -43,6 +50,7 @@ def append_scores(
 
     ``ord`` counts the appends, so that the last score of a month can be told.
     """
+    ensure_table(scores.sparkSession, path, SCORES, "market")
     stored = read_scores_table(scores.sparkSession, path)
     scores.select(
         "keyword",
