@@ -22,7 +22,7 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.noise import route_noise
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
-from termloom.session import shared_folder, spread
+from termloom.session import shared_folder, spread, stored
 from termloom.sinks import reports
 from termloom.sinks.tables import append_keywords, append_scores
 from termloom.sources.sheets import read_sheet
@@ -50,7 +50,7 @@ NOISE_PACK = {
     "competitor": ["ouantion", "thtion", "stouwh", "anre"],
     "off_topic": [
         r"\bque la\b", r"\bnich", r"ó?n para\b", r"\bth(or|ing)s?\b", r"what (is|are) .+ the\b",
-        r"of .+ er\b", r"\bthe\.$",
+        r"token .+ de\b", r"\bthe\.$",
     ],
 }
 INTENT_PACK = {
@@ -335,7 +335,7 @@ select detected_lang, keyword, source as seed, lang as declared_lang
 from det where detected_lang <> lang""")
 def _(spark, sf_dir):
     split = language.split_by_language(keywords(spark, sf_dir), F.col("lang"))
-    return reports.FOREIGN_LANGUAGE.of(split.where("is_foreign"))
+    return reports.FOREIGN_LANGUAGE.of(stored(split.where("is_foreign"), "foreign"))
 
 
 CURATED = f"""{DOCS}, {_language_sql()}, cur as (
@@ -365,7 +365,8 @@ def _(spark, sf_dir):
 @query("tagging_sheet", f"""{CURATED}
 select keyword, source as seed, lang, '' as intent, '' as notes from curated where bucket = 'keeper'""")
 def _(spark, sf_dir):
-    return reports.TAGGING_SHEET.of(_curated(spark, sf_dir).where(F.col("bucket") == "keeper"))
+    kept = _curated(spark, sf_dir).where(F.col("bucket") == "keeper")
+    return reports.TAGGING_SHEET.of(stored(kept, "kept"))
 
 
 @query("sheet_roundtrip", """
@@ -422,7 +423,7 @@ def _auto(spark, sf_dir, table: RuleTable) -> DataFrame:
 select keyword, source as seed, lang, intent, matched_rule from auto where intent is not null""")
 def _(spark, sf_dir):
     done = _auto(spark, sf_dir, INTENT_RULES).where(F.col("intent").isNotNull())
-    return reports.CLASSIFIED.of(done)
+    return reports.CLASSIFIED.of(stored(done, "classified"))
 
 
 @query("auto_classify_commercial", f"""{_auto_sql(INTENT_PACK | COMMERCIAL_PACK)}
@@ -434,7 +435,8 @@ def _(spark, sf_dir):
 @query("needs_review", f"""{_auto_sql(INTENT_PACK)}
 select keyword, source as seed, lang, '' as intent, '' as notes from auto where intent is null""")
 def _(spark, sf_dir):
-    return reports.NEEDS_REVIEW.of(intent.needs_review(_auto(spark, sf_dir, INTENT_RULES)))
+    left = intent.needs_review(_auto(spark, sf_dir, INTENT_RULES))
+    return reports.NEEDS_REVIEW.of(stored(left, "review"))
 
 
 @query("intent_summary", f"""{_auto_sql(INTENT_PACK | COMMERCIAL_PACK)}

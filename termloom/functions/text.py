@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.fixed_values import BLANKS
 
-BLANK_RUN = "[" + BLANKS + "]+"
+BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"  # the same characters as BLANKS
 
 
 def strip(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom import fixed_values as fixed
+from termloom.functions.evaluate import with_evaluated
 from termloom.functions.rules import RuleTable
 from termloom.functions.text import ignoring_case, words
 
@@ -25,7 +26,7 @@ def matched_categories(keywords: DataFrame, table: RuleTable = CATEGORIES) -> Da
     hit = table.categories_hit(ignoring_case(F.col("keyword")))
     number = F.size("_hit")
     return (
-        keywords.withColumn("_hit", hit)
+        with_evaluated(keywords, "_hit", hit)
         .withColumns(
             {
                 "matched_categories": F.when(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom import fixed_values as fixed
+from termloom.functions.evaluate import with_evaluated
 from termloom.functions.rules import RuleTable
 from termloom.functions.text import code
 
@@ -26,7 +27,7 @@ def classified_intent(keyword: Column, table: RuleTable = CONFIDENT) -> Column:
     return table.first(F.lower(keyword), "intent", "matched_rule")
 
 
-def _labelled(verdict: DataFrame) -> dict[str, Column]:
+def _labelled() -> dict[str, Column]:
     intent, rule = F.col("_verdict.intent"), F.col("_verdict.matched_rule")
     is_commercial = intent == fixed.INTENT_COMMERCIAL
     manual = rule == fixed.RULE_MANUAL
@@ -44,8 +45,8 @@ def classify(keywords: DataFrame, table: RuleTable = CONFIDENT) -> DataFrame:
     A table with a last tier ``commercial`` marks that tier's rules by their prefix.
     """
     return (
-        keywords.withColumn("_verdict", classified_intent(F.col("keyword"), table))
-        .withColumns(_labelled(keywords))
+        with_evaluated(keywords, "_verdict", classified_intent(F.col("keyword"), table))
+        .withColumns(_labelled())
         .drop("_verdict")
     )
 
@@ -62,7 +63,7 @@ def auto_classify(sheet: DataFrame, table: RuleTable = CONFIDENT) -> DataFrame:
     verdict = F.when(existing != "", manual).otherwise(
         classified_intent(F.col("keyword"), table)
     )
-    return sheet.withColumn("_verdict", verdict).withColumns(_labelled(sheet)).drop("_verdict")
+    return with_evaluated(sheet, "_verdict", verdict).withColumns(_labelled()).drop("_verdict")
 
 
 def needs_review(classified: DataFrame) -> DataFrame:

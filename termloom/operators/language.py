@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.fixed_values import LANGUAGE_MARKERS, OVERRIDE_LANGUAGES
+from termloom.functions.evaluate import with_evaluated
 from termloom.functions.rules import RuleTable
 from termloom.functions.text import code
 
@@ -23,8 +24,8 @@ def split_by_language(
     """Add ``detected_lang`` and ``is_foreign`` (detected, and other than declared as written)."""
     declared = declared if isinstance(declared, Column) else F.lit(declared)
     detected = F.col("detected_lang")
-    return keywords.withColumn(
-        "detected_lang", detected_language(F.col("keyword"), table)
+    return with_evaluated(
+        keywords, "detected_lang", detected_language(F.col("keyword"), table)
     ).withColumn("is_foreign", detected.isNotNull() & ~detected.eqNullSafe(declared))
 
 

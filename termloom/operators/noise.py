@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.fixed_values import COMPETITOR, OFF_TOPIC
+from termloom.functions.evaluate import with_evaluated
 from termloom.functions.rules import RuleTable
 
 NOISE = RuleTable.of({"competitor": COMPETITOR, "off_topic": OFF_TOPIC})
@@ -18,4 +19,4 @@ def noise_bucket(keyword: Column, table: RuleTable = NOISE) -> Column:
 
 def route_noise(keywords: DataFrame, table: RuleTable = NOISE) -> DataFrame:
     """Add ``bucket``; every row is in exactly one bucket."""
-    return keywords.withColumn("bucket", noise_bucket(F.col("keyword"), table))
+    return with_evaluated(keywords, "bucket", noise_bucket(F.col("keyword"), table))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termloom.operators.diagnostics import matched_categories
 from termloom.operators.intent import ALL_TIERS, CONFIDENT, auto_classify
 from termloom.operators.themes import CROSS_LANGUAGE, MATCHING, route_tagged
+from termloom.session import stored
 from termloom.sinks import reports
 
 
@@ -15,7 +16,9 @@ def write_classification(
     sheet: DataFrame, folder: str, lang: str, include_commercial: bool = False
 ) -> DataFrame:
     """Write the classified list and, where rows are left, the review list."""
-    result = auto_classify(sheet, ALL_TIERS if include_commercial else CONFIDENT)
+    result = stored(
+        auto_classify(sheet, ALL_TIERS if include_commercial else CONFIDENT), "classified"
+    )
     done, left = F.col("intent").isNotNull(), F.col("intent").isNull()
     reports.CLASSIFIED.write(result.where(done), f"{folder}/classified_{lang}")
     if not result.where(left).isEmpty():
@@ -28,7 +31,7 @@ def write_clusters(sheet: DataFrame, folder: str, lang: str) -> DataFrame:
 
     Takes a tagging sheet filled in by hand or the output of ``auto_classify``.
     """
-    routed = route_tagged(sheet, lang)
+    routed = stored(route_tagged(sheet, lang), "clustered")
     reports.CLUSTERED.write(routed.where(F.col("route") == MATCHING), f"{folder}/clustered_{lang}")
     cross = routed.where(F.col("route") == CROSS_LANGUAGE)
     if not cross.isEmpty():
@@ -38,7 +41,7 @@ def write_clusters(sheet: DataFrame, folder: str, lang: str) -> DataFrame:
 
 def write_diagnosis(review: DataFrame, folder: str, lang: str) -> DataFrame:
     """Write the no-match and the conflict list where they are not empty."""
-    routed = matched_categories(review)
+    routed = stored(matched_categories(review), "diagnosed")
     for route, report in [("no_match", reports.NO_MATCH), ("conflict", reports.CONFLICTS)]:
         rows = routed.where(F.col("route") == route)
         if not rows.isEmpty():

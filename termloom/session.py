@@ -39,3 +39,14 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows computed once and read back from a table in the shared folder.
+
+    For results that several reports read: each ordered report samples its input and then reads
+    it again, which would evaluate the rules every time. The table survives lost executors.
+    """
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
