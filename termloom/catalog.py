@@ -22,7 +22,8 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.noise import route_noise
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
-from termloom.session import shared_folder, spread, stored
+from termloom.session import shared_folder, spread
+from termloom.session import stored as stored_once
 from termloom.sinks import reports
 from termloom.sinks.tables import append_keywords, append_scores
 from termloom.sources.sheets import read_sheet
@@ -142,12 +143,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as stored keywords; the source also stands in for the seed."""
-    return spread(_read(spark, sf_dir, "documents"), "doc_id").select(
+    return _read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("keyword"), "lang", "source",
         F.col("source").alias("seed"), F.col("doc_id").alias("ord"),
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for rule queries, which need all cores even where the table is one small file."""
+    return spread(keywords(spark, sf_dir), "id")
+
+
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a tagging sheet, tagged from their labels."""
     labels = _read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
@@ -314,28 +320,28 @@ def _(spark, sf_dir):
 @query("noise_filter", f"""{DOCS}
 select id, coalesce({_case(NOISE_PACK, 'category')}, 'keeper') as bucket from docs""")
 def _(spark, sf_dir):
-    return route_noise(keywords(spark, sf_dir), NOISE_RULES).select("id", "bucket")
+    return route_noise(texts(spark, sf_dir), NOISE_RULES).select("id", "bucket")
 
 
 @query("noise_filter_domain", f"""{DOCS}
 select id, case when {_any(fixed.COMPETITOR)} then 'competitor'
   when {_any(fixed.OFF_TOPIC)} then 'off_topic' else 'keeper' end as bucket from docs""")
 def _(spark, sf_dir):
-    return route_noise(keywords(spark, sf_dir)).select("id", "bucket")
+    return route_noise(texts(spark, sf_dir)).select("id", "bucket")
 
 
 @query("language_detect", f"{DOCS}, {_language_sql()} select id, detected_lang from det")
 def _(spark, sf_dir):
     detected = language.detected_language(F.col("keyword"))
-    return keywords(spark, sf_dir).select("id", detected.alias("detected_lang"))
+    return texts(spark, sf_dir).select("id", detected.alias("detected_lang"))
 
 
 @query("cross_language_split", f"""{DOCS}, {_language_sql()}
 select detected_lang, keyword, source as seed, lang as declared_lang
 from det where detected_lang <> lang""")
 def _(spark, sf_dir):
-    split = language.split_by_language(keywords(spark, sf_dir), F.col("lang"))
-    return reports.FOREIGN_LANGUAGE.of(stored(split.where("is_foreign"), "foreign"))
+    split = language.split_by_language(texts(spark, sf_dir), F.col("lang"))
+    return reports.FOREIGN_LANGUAGE.of(stored_once(split.where("is_foreign"), "foreign"))
 
 
 CURATED = f"""{DOCS}, {_language_sql()}, cur as (
@@ -345,7 +351,7 @@ curated as (select *, case when first_bucket = 'keeper' and detected_lang <> lan
 
 
 def _curated(spark, sf_dir) -> DataFrame:
-    return curate(keywords(spark, sf_dir), F.col("lang"), NOISE_RULES)
+    return curate(texts(spark, sf_dir), F.col("lang"), NOISE_RULES)
 
 
 @query("curate", f"""{CURATED} select id, bucket,
@@ -366,7 +372,7 @@ def _(spark, sf_dir):
 select keyword, source as seed, lang, '' as intent, '' as notes from curated where bucket = 'keeper'""")
 def _(spark, sf_dir):
     kept = _curated(spark, sf_dir).where(F.col("bucket") == "keeper")
-    return reports.TAGGING_SHEET.of(stored(kept, "kept"))
+    return reports.TAGGING_SHEET.of(stored_once(kept, "kept"))
 
 
 @query("sheet_roundtrip", """
@@ -385,7 +391,7 @@ def _intent_sql(groups: dict[str, list[str]]) -> str:
 
 
 def _classified(spark, sf_dir, table: RuleTable) -> DataFrame:
-    return intent.classify(keywords(spark, sf_dir), table).select("id", "intent", "matched_rule")
+    return intent.classify(texts(spark, sf_dir), table).select("id", "intent", "matched_rule")
 
 
 @query("intent_classify", f"{DOCS} select id, {_intent_sql(intent.CONFIDENT_GROUPS)} from docs")
@@ -416,14 +422,14 @@ def _auto_sql(groups: dict[str, list[str]]) -> str:
 
 
 def _auto(spark, sf_dir, table: RuleTable) -> DataFrame:
-    return intent.auto_classify(sheet(spark, sf_dir), table)
+    return intent.auto_classify(spread(sheet(spark, sf_dir), "id"), table)
 
 
 @query("auto_classify", f"""{_auto_sql(INTENT_PACK)}
 select keyword, source as seed, lang, intent, matched_rule from auto where intent is not null""")
 def _(spark, sf_dir):
     done = _auto(spark, sf_dir, INTENT_RULES).where(F.col("intent").isNotNull())
-    return reports.CLASSIFIED.of(stored(done, "classified"))
+    return reports.CLASSIFIED.of(stored_once(done, "classified"))
 
 
 @query("auto_classify_commercial", f"""{_auto_sql(INTENT_PACK | COMMERCIAL_PACK)}
@@ -436,7 +442,7 @@ def _(spark, sf_dir):
 select keyword, source as seed, lang, '' as intent, '' as notes from auto where intent is null""")
 def _(spark, sf_dir):
     left = intent.needs_review(_auto(spark, sf_dir, INTENT_RULES))
-    return reports.NEEDS_REVIEW.of(stored(left, "review"))
+    return reports.NEEDS_REVIEW.of(stored_once(left, "review"))
 
 
 @query("intent_summary", f"""{_auto_sql(INTENT_PACK | COMMERCIAL_PACK)}
@@ -617,7 +623,7 @@ select lang, seed, count(*) as suggestions, count(*) filter (is_new) as inserted
   from sugg left join new on sugg.doc_id = new.doc_id) group by 1, 2""")
 def _(spark, sf_dir):
     stored, incoming = _halves(spark, sf_dir)
-    expanded = keyed.first_spelling(incoming, ["lang", "seed"])
+    expanded = stored_once(keyed.first_spelling(incoming, ["lang", "seed"]), "expanded")
     new = keyed.only_new(expanded, stored, ["keyword", "lang"])
     return summaries.ingest_counters(expanded, new, ["lang", "seed"])
 
@@ -656,7 +662,7 @@ _PACK_CONFLICTS = _conflict_sql(INTENT_PACK | COMMERCIAL_PACK)
 
 @query("rule_conflicts", f"{_PACK_CONFLICTS} select id, matched_categories, route from routed")
 def _(spark, sf_dir):
-    routed = diagnostics.matched_categories(keywords(spark, sf_dir), CONFLICT_RULES)
+    routed = diagnostics.matched_categories(texts(spark, sf_dir), CONFLICT_RULES)
     return routed.select("id", "matched_categories", "route")
 
 
@@ -664,7 +670,7 @@ def _(spark, sf_dir):
   count(*) filter (route = 'no_match') as no_match, count(*) filter (route = 'conflict') as conflict,
   count(*) filter (route = 'single') as single from routed""")
 def _(spark, sf_dir):
-    routed = diagnostics.matched_categories(keywords(spark, sf_dir), CONFLICT_RULES)
+    routed = diagnostics.matched_categories(texts(spark, sf_dir), CONFLICT_RULES)
     return diagnostics.route_counts(routed)
 
 
@@ -673,7 +679,7 @@ _DOMAIN_CONFLICTS = _conflict_sql(intent.CONFIDENT_GROUPS | intent.COMMERCIAL_GR
 
 @query("rule_conflicts_domain", f"{_DOMAIN_CONFLICTS} select id, matched_categories, route from routed")
 def _(spark, sf_dir):
-    routed = diagnostics.matched_categories(keywords(spark, sf_dir))
+    routed = diagnostics.matched_categories(texts(spark, sf_dir))
     return routed.select("id", "matched_categories", "route")
 
 
@@ -686,7 +692,7 @@ counted as (select word, count(*) as n, min(struct_pack(a := id, b := pos)) as f
 
 
 def _open_keywords(spark, sf_dir) -> DataFrame:
-    routed = diagnostics.matched_categories(keywords(spark, sf_dir))
+    routed = diagnostics.matched_categories(texts(spark, sf_dir))
     return routed.where(F.col("route") == "no_match")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom import fixed_values as fixed
 from termloom.functions.evaluate import with_evaluated
@@ -59,13 +60,18 @@ def word_frequency(
 ) -> DataFrame:
     """Most frequent words; ties keep the order of first appearance (row, then place in row)."""
     stopwords = fixed.STOPWORDS if stopwords is None else stopwords
+    place = F.struct("_row", "pos")
+    if isinstance(keywords.schema[order].dataType, T.IntegralType):
+        # one number instead of a pair, because Spark aggregates numbers by hash, without a sort
+        row = F.col("_row").cast("decimal(20,0)")
+        place = row * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     found = (
         keywords.select(F.col(order).alias("_row"), F.posexplode(words(F.col("keyword"))))
         .where(~F.col("col").isin(stopwords))
         .groupBy(F.col("col").alias("word"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.col("_row"), F.col("pos"))).alias("_first"),
+            F.min(place).alias("_first"),
         )
         .orderBy(F.desc("n"), "_first")
     )

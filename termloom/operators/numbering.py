@@ -10,6 +10,11 @@ from termloom.fixed_values import INTEREST_BATCH_SIZE
 BLOCK = 1 << 18
 
 
+def whole_quotient(number: Column, by: int) -> Column:
+    """Whole-number division; a quotient of doubles would be off beyond 2**53."""
+    return F.call_function("div", number, F.lit(by))
+
+
 def numbered(
     rows: DataFrame, group: list[str], order: str, name: str = "row_no", block: int = BLOCK
 ) -> DataFrame:
@@ -20,7 +25,7 @@ def numbered(
     (aggregated before the shuffle), the counts are summed up along the blocks of a group, and
     a row's position is its block's start plus its position inside the block.
     """
-    cut = rows.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    cut = rows.withColumn("_block", whole_quotient(F.col(order), block))
     along = Window.partitionBy(*group).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -40,7 +45,7 @@ def numbered(
 
 
 def batch_number(position: Column, size: int = INTEREST_BATCH_SIZE) -> Column:
-    return F.floor(position / F.lit(size))
+    return whole_quotient(position, size)
 
 
 def assign_batches(
