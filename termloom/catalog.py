@@ -465,10 +465,11 @@ select cast(conv_id as varchar) as keyword, arg_max(role, turn) as intent
 from conversations group by 1""")
 def _(spark, sf_dir):
     tagged = _read(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("keyword"), F.col("role").alias("intent"),
+        F.col("conv_id").cast("string").alias("keyword"),
+        F.concat(F.lit(" "), F.upper("role")).alias("intent"),
         F.col("turn").alias("ord"),
     )
-    return keyed.last_value(tagged, "keyword", "intent")
+    return intent.tag_map(tagged)
 
 
 # --- themes ----------------------------------------------------------------------------------

@@ -190,16 +190,14 @@ class RuleTable:
         parts = [search.first_hit(lowered) for search in self.searches] + self._open(lowered)
         return F.least(*parts) if len(parts) > 1 else parts[0]
 
-    def first(self, lowered: Column, category: str = "category", pattern: str = "rule") -> Column:
-        """Category and pattern of the first matching rule as a struct, or null."""
-        table = F.array(
-            *[F.struct(F.lit(c).alias(category), F.lit(p).alias(pattern)) for c, p in self.rules]
-        )
-        return F.get(table, self.first_hit(lowered))
+    def category_of(self, number: Column) -> Column:
+        return F.get(F.array(*[F.lit(category) for category, _ in self.rules]), number)
+
+    def pattern_of(self, number: Column) -> Column:
+        return F.get(F.array(*[F.lit(pattern) for _, pattern in self.rules]), number)
 
     def first_category(self, lowered: Column) -> Column:
-        table = F.array(*[F.lit(category) for category, _ in self.rules])
-        return F.get(table, self.first_hit(lowered))
+        return self.category_of(self.first_hit(lowered))
 
     def _category_numbers(self, lowered: Column) -> Column:
         """Category number of every distinct rule that matches (one item per rule)."""

@@ -9,6 +9,7 @@ from termloom import fixed_values as fixed
 from termloom.functions.evaluate import with_evaluated
 from termloom.functions.rules import RuleTable
 from termloom.functions.text import code
+from termloom.operators.keyed import last_value
 
 CONFIDENT_GROUPS = {
     fixed.INTENT_NAVIGATIONAL: fixed.NAVIGATIONAL,
@@ -22,33 +23,32 @@ COMMERCIAL = RuleTable.of(COMMERCIAL_GROUPS)
 ALL_TIERS = RuleTable.of(CONFIDENT_GROUPS | COMMERCIAL_GROUPS)
 
 
-def classified_intent(keyword: Column, table: RuleTable = CONFIDENT) -> Column:
-    """Struct (intent, matched_rule) of the first rule in tier and list order, or null."""
-    return table.first(F.lower(keyword), "intent", "matched_rule")
-
-
-def _labelled() -> dict[str, Column]:
-    intent, rule = F.col("_verdict.intent"), F.col("_verdict.matched_rule")
-    is_commercial = intent == fixed.INTENT_COMMERCIAL
-    manual = rule == fixed.RULE_MANUAL
-    return {
-        "intent": intent,
-        "matched_rule": F.when(
-            is_commercial & ~manual, F.concat(F.lit(fixed.RULE_COMMERCIAL_PREFIX), rule)
-        ).otherwise(rule),
-    }
+def _decided(rows: DataFrame, number: Column, table: RuleTable, existing: Column) -> DataFrame:
+    """Add ``intent`` and ``matched_rule`` from the number of the deciding rule."""
+    at = F.col("_rule")
+    is_tagged = existing != ""
+    category, pattern = table.category_of(at), table.pattern_of(at)
+    prefix = F.when(category == fixed.INTENT_COMMERCIAL, fixed.RULE_COMMERCIAL_PREFIX).otherwise("")
+    return (
+        with_evaluated(rows, "_rule", number)
+        .withColumns(
+            {
+                "intent": F.when(is_tagged, existing).otherwise(category),
+                "matched_rule": F.when(is_tagged, fixed.RULE_MANUAL).otherwise(
+                    F.concat(prefix, pattern)
+                ),
+            }
+        )
+        .drop("_rule")
+    )
 
 
 def classify(keywords: DataFrame, table: RuleTable = CONFIDENT) -> DataFrame:
-    """Add ``intent`` and ``matched_rule``, both null where no rule matches.
+    """Add intent and pattern of the first rule in tier and list order, null where none matches.
 
-    A table with a last tier ``commercial`` marks that tier's rules by their prefix.
+    Rules of the tier ``commercial`` are marked by a prefix.
     """
-    return (
-        with_evaluated(keywords, "_verdict", classified_intent(F.col("keyword"), table))
-        .withColumns(_labelled())
-        .drop("_verdict")
-    )
+    return _decided(keywords, table.first_hit(F.lower("keyword")), table, F.lit(""))
 
 
 def auto_classify(sheet: DataFrame, table: RuleTable = CONFIDENT) -> DataFrame:
@@ -59,11 +59,13 @@ def auto_classify(sheet: DataFrame, table: RuleTable = CONFIDENT) -> DataFrame:
     list order, so one pass over the text serves all four tiers. Tagged rows skip the rules.
     """
     existing = code(F.col("intent"))
-    manual = F.struct(existing.alias("intent"), F.lit(fixed.RULE_MANUAL).alias("matched_rule"))
-    verdict = F.when(existing != "", manual).otherwise(
-        classified_intent(F.col("keyword"), table)
-    )
-    return with_evaluated(sheet, "_verdict", verdict).withColumns(_labelled()).drop("_verdict")
+    number = F.when(existing == "", table.first_hit(F.lower("keyword")))
+    return _decided(sheet, number, table, existing)
+
+
+def tag_map(sheet: DataFrame, order: str = "ord") -> DataFrame:
+    """Intent per keyword from the filled rows of a sheet; of repeated keywords the last row counts."""
+    return last_value(sheet.withColumn("intent", code(F.col("intent"))), "keyword", "intent", order)
 
 
 def needs_review(classified: DataFrame) -> DataFrame:

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.fixed_values import TOP_KEYWORDS
 from termloom.operators.interest import monthly_average
+from termloom.operators.numbering import assign_batches
 from termloom.operators.seasons import monthly_matrix, season_summary
 from termloom.sinks import reports
 from termloom.sinks.tables import append_scores
-from termloom.sources.tables import market_label, read_scores
+from termloom.sources.tables import first_keywords, market_label, read_scores
+
+
+def interest_requests(keywords: DataFrame, top: int = TOP_KEYWORDS) -> DataFrame:
+    """The first stored keywords (id, keyword) with the batch each one is asked in."""
+    return assign_batches(first_keywords(keywords.select("id", "keyword"), top), [])
 
 
 def store_monthly_scores(

@@ -8,7 +8,7 @@ from termloom.functions.calendar import season_of_month
 from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.numbering import assign_batches, numbered
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
-from termloom.plans.seasonality import export_scores, store_monthly_scores
+from termloom.plans.seasonality import export_scores, interest_requests, store_monthly_scores
 from termloom.sinks.tables import append_scores
 from termloom.sources.interest import read_interest
 from termloom.sources.tables import read_scores
@@ -123,6 +123,12 @@ def test_numbers_are_consecutive_per_group_in_any_block(spark, block):
         assert [found[group, i] for i in ids] == list(range(len(ids)))
 
 
+def test_interest_requests_take_the_first_keywords(spark):
+    rows = spark.createDataFrame([(n * 7, f"k{n}") for n in range(9)], "id long, keyword string")
+    asked = {r.keyword: r.batch for r in interest_requests(rows, 7).collect()}
+    assert asked == {f"k{n}": n // 5 for n in range(7)}
+
+
 def test_batches_of_five(spark):
     df = spark.createDataFrame([("en", n) for n in range(7)] + [("fr", 3)], "lang string, id long")
     found = {(r.lang, r.id): r.batch for r in assign_batches(df, ["lang"]).collect()}

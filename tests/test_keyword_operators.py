@@ -61,14 +61,14 @@ INTENTS = {
 
 
 @pytest.mark.parametrize("expected", INTENTS)
-def test_confident_intent(column, expected):
-    found = column(INTENTS[expected], intent.classified_intent(F.col("v")))
-    assert [v and v.intent for v in found] == [expected] * len(INTENTS[expected])
+def test_confident_intent(spark, expected):
+    rows = spark.createDataFrame([(k,) for k in INTENTS[expected]], "keyword string")
+    assert {r.intent for r in intent.classify(rows).collect()} == {expected}
 
 
-def test_rule_is_reported_in_list_order_not_text_order(column):
-    [verdict] = column(["budget or prix"], intent.classified_intent(F.col("v")))
-    assert tuple(verdict) == ("transactionnel", r"\bprix\b")
+def test_rule_is_reported_in_list_order_not_text_order(spark):
+    rows = spark.createDataFrame([("budget or prix",)], "keyword string")
+    assert tuple(intent.classify(rows).first()) == ("budget or prix", "transactionnel", r"\bprix\b")
 
 
 def test_commercial_is_apart_and_marked(spark):
@@ -116,6 +116,11 @@ def test_needs_review_is_blank_again(sheet):
     assert [(r.ord, r.intent, r.notes) for r in rows] == [(3, "", ""), (4, "", "")]
 
 
+def test_tag_map_takes_the_last_filled_row(sheet):
+    found = {r.keyword: r.intent for r in intent.tag_map(sheet).collect()}
+    assert found == {"hotel tarif": "informationnel", "hotel kuoni": "exclure", "diving trip": "commercial"}
+
+
 def test_rate_and_summary(sheet):
     done = intent.auto_classify(sheet, intent.ALL_TIERS)
     rate = classification_rate(done).first()

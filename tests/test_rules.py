@@ -44,7 +44,7 @@ def made_up_keywords(count: int, seed: int) -> list[str]:
     return texts
 
 
-KEYWORDS = made_up_keywords(4000, seed=7)
+KEYWORDS = made_up_keywords(2500, seed=7)
 
 
 def python_hits(table: RuleTable, text: str, flags: int = 0) -> list[int]:
@@ -60,10 +60,10 @@ def test_hits_equal_python_search(column, table):
 
 @pytest.mark.parametrize("table", [*TABLES.values(), ODD], ids=[*TABLES, "odd"])
 def test_first_rule_is_first_in_list_order(column, table):
-    found = column(KEYWORDS, table.first(F.lower("v")))
-    for text, verdict in zip(KEYWORDS, found):
+    found = column(KEYWORDS, table.first_hit(F.lower("v")))
+    for text, number in zip(KEYWORDS, found):
         hits = python_hits(table, text.lower())
-        assert (verdict and tuple(verdict)) == (table.rules[hits[0]] if hits else None), repr(text)
+        assert number == (hits[0] if hits else None), repr(text)
 
 
 def test_clear_winner_counts_distinct_rules(column):
@@ -78,7 +78,7 @@ def test_clear_winner_counts_distinct_rules(column):
 
 
 def test_categories_ignore_case_like_python(column):
-    texts = KEYWORDS[:1500] + ["İTINERARY", "vıdeo", "ſafe", "KAYAK K", "TRIPADVISOR visa trip", "PRİX"]
+    texts = KEYWORDS[:800] + ["İTINERARY", "vıdeo", "ſafe", "KAYAK K", "TRIPADVISOR visa trip", "PRİX"]
     found = column(texts, CATEGORIES.categories_hit(ignoring_case(F.col("v"))))
     for text, names in zip(texts, found):
         hits = python_hits(CATEGORIES, text, re.IGNORECASE)
@@ -87,7 +87,7 @@ def test_categories_ignore_case_like_python(column):
 
 
 def test_missing_text_has_no_hit(column):
-    assert column([None], CONFIDENT.first(F.lower("v"))) == [None]
+    assert column([None], CONFIDENT.first_hit(F.lower("v"))) == [None]
 
 
 def test_finite_texts():
