@@ -36,7 +36,33 @@ def monthly_average(
         series.groupBy(*keys, *by_batch, F.month(date).alias("month"))
         .agg(rounded_mean(F.col(value)).alias("interest_score"))
     )
-    if not batch:
-        return means
-    last = means.groupBy(*keys).agg(F.max(batch).alias(batch))
-    return means.join(last, [*keys, batch], "left_semi").drop(batch)
+    return _last_batch(means, keys, batch) if batch else means
+
+
+def _last_batch(means: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """Keep the months of a key's last batch.
+
+    Per key this takes the last batch of all and of each month, in one aggregation that starts
+    before the shuffle, and then the months in which the two agree.
+    """
+    columns, months = [F.max(batch).alias("_last")], []
+    for month in range(1, 13):
+        own_batch = F.when(F.col("month") == month, F.col(batch))
+        own_score = F.when(F.col("month") == month, F.col("interest_score"))
+        columns += [
+            F.max(own_batch).alias(f"_batch{month}"),
+            F.max_by(own_score, own_batch).alias(f"_score{month}"),
+        ]
+        months.append(
+            F.struct(
+                F.lit(month).alias("month"),
+                F.col(f"_score{month}").alias("interest_score"),
+                F.col(f"_batch{month}").alias("_batch"),
+            )
+        )
+    return (
+        means.groupBy(*keys).agg(*columns)
+        .select(*keys, "_last", F.inline(F.array(*months)))
+        .where(F.col("_batch") == F.col("_last"))
+        .drop("_batch", "_last")
+    )
