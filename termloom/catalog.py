@@ -166,7 +166,7 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("source") == "src2", "free text").otherwise("")
     )
     return (
-        keywords(spark, sf_dir).join(labels, "id", "left")
+        texts(spark, sf_dir).join(labels, "id", "left")
         .withColumns({"intent": tag, "notes": notes})
         .select("id", "keyword", "seed", "source", "lang", "intent", "notes", "ord")
     )
@@ -422,7 +422,7 @@ def _auto_sql(groups: dict[str, list[str]]) -> str:
 
 
 def _auto(spark, sf_dir, table: RuleTable) -> DataFrame:
-    return intent.auto_classify(spread(sheet(spark, sf_dir), "id"), table)
+    return intent.auto_classify(sheet(spark, sf_dir), table)
 
 
 @query("auto_classify", f"""{_auto_sql(INTENT_PACK)}

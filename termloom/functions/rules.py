@@ -61,6 +61,33 @@ def finite_texts(pattern: str) -> list[str] | None:
     return texts if all(text and text == text.lower() for text in texts) else None
 
 
+def required_text(pattern: str) -> str:
+    """The longest plain text that every match contains, '' where none is plain to see."""
+    runs, at = [""], 0
+    while at < len(pattern):
+        piece = _PIECE.match(pattern, at)
+        if piece is None and pattern.startswith(r"\b", at):
+            at += 2
+            runs.append("")
+        elif piece is None:
+            char = pattern[at]
+            if char in "|([\\":
+                return ""
+            if char in "*{":
+                runs[-1] = runs[-1][:-1]
+            if char == "{":
+                return ""
+            at += 1
+            runs.append("")
+        elif (char := piece["escaped"] or piece["plain"]) and not piece["char_opt"]:
+            runs[-1] += char
+            at = piece.end()
+        else:
+            at = piece.end()
+            runs.append("")
+    return max(runs, key=len)
+
+
 def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
@@ -173,8 +200,12 @@ class RuleTable:
         return cls((name, pattern) for name, patterns in groups.items() for pattern in patterns)
 
     def _open(self, lowered: Column) -> list[Column]:
+        """Number of each open rule that matches; its plain text is looked for first."""
         return [
-            F.when(lowered.rlike(as_java(pattern)), F.lit(number))
+            F.when(
+                lowered.contains(required_text(pattern)) & lowered.rlike(as_java(pattern)),
+                F.lit(number),
+            )
             for number, pattern in self.open_rules
         ]
 

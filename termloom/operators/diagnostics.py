@@ -23,7 +23,10 @@ CATEGORIES = RuleTable.of(
 
 
 def matched_categories(keywords: DataFrame, table: RuleTable = CATEGORIES) -> DataFrame:
-    """Add ``matched_categories`` (joined in list order) and ``route`` by their number."""
+    """Add ``matched_categories`` (joined in list order) and ``route`` by their number.
+
+    Case is ignored; the patterns of the table are written in lower case.
+    """
     hit = table.categories_hit(ignoring_case(F.col("keyword")))
     number = F.size("_hit")
     return (

@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of an input that comes in fewer pieces than there are cores, dealt out by a unique key.
+    """Rows of a file scan that comes in fewer pieces than there are cores, dealt out by a unique key.
 
     Rule evaluation is bound by the CPU, so a table in one small file would keep one core busy.
     An input with enough pieces, as any large one has, is left as it is.

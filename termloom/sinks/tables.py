@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +24,8 @@ def append_keywords(incoming: DataFrame, path: str, at: Column | None = None) ->
     executors, or a replayed stream batch, may simply be run again.
     """
     spark = incoming.sparkSession
+    # a missing key part would never equal a stored one
+    incoming = incoming.withColumns({key: F.coalesce(key, F.lit("")) for key in KEYWORD_KEY})
     ensure_table(spark, path, KEYWORDS, "lang")
     stored = read_keywords(spark, path)
     base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0))).scalar()
@@ -61,8 +62,3 @@ def append_scores(
         (F.current_timestamp() if at is None else at).alias("collected_at"),
         F.lit(market_label(geo)).alias("market"),
     ).write.mode("append").partitionBy("market").parquet(path)
-
-
-def persisted(rows: DataFrame) -> DataFrame:
-    """Keep rows that two branches of an append read; lost blocks are computed again."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom import schemas
 from termloom.session import shared_folder
-from termloom.sinks.tables import append_keywords, persisted
+from termloom.sinks.tables import append_keywords
 from termloom.sources.suggestions import decode_suggestions
 
 
@@ -32,7 +33,8 @@ def append_stream(
     spark = suggestions.sparkSession
 
     def add(batch: DataFrame, _: int) -> None:
-        batch = persisted(batch)
+        # two branches of the append read the batch; lost blocks are computed again
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             append_keywords(batch, table)
         finally:

@@ -76,7 +76,8 @@ def test_monthly_average_over_years_skips_missing(spark, tmp_path):
 
 
 def test_later_batch_replaces_the_whole_keyword(spark):
-    rows = [("k", 1, "2024-01-01", 1.0), ("k", 1, "2024-02-01", 2.0), ("k", 2, "2024-01-01", 9.0), ("j", 1, "2024-03-01", 3.0)]
+    rows = [("k", 1, "2024-01-01", 1.0), ("k", 1, "2024-02-01", 2.0), ("k", 2, "2024-01-01", 9.0)]
+    rows += [("j", 1, "2024-03-01", 3.0)]
     long = spark.createDataFrame(rows, "keyword string, batch int, date string, value double").withColumn(
         "date", F.to_date("date")
     )

@@ -14,6 +14,9 @@ from termloom.sinks import reports
 from termloom.sources.sheets import read_sheet
 
 
+SCHEMA = "keyword string, seed string, lang string, ord long"
+
+
 def lines(folder) -> list[list[str]]:
     """All rows of a report in file order, header once, read by a plain CSV reader."""
     rows = []
@@ -51,7 +54,7 @@ def test_sheet_columns_go_by_name(spark, tmp_path):
 
 def test_report_is_in_order_over_all_files_and_reads_back(spark, tmp_path):
     texts = [f'k{n % 50} "q", é\n {n}' for n in range(400)] + ["", " "]
-    rows = spark.createDataFrame([(t, "s", "fr", n) for n, t in enumerate(texts)], "keyword string, seed string, lang string, ord long")
+    rows = spark.createDataFrame([(t, "s", "fr", n) for n, t in enumerate(texts)], SCHEMA)
     out = str(tmp_path / "out")
     reports.TAGGING_SHEET.write(rows, out, files=3)
     written = lines(out)
@@ -61,14 +64,14 @@ def test_report_is_in_order_over_all_files_and_reads_back(spark, tmp_path):
 
 
 def test_equal_keys_keep_input_order(spark):
-    rows = spark.createDataFrame([("a", str(n), "fr", n) for n in (5, 1, 3)], "keyword string, seed string, lang string, ord long")
+    rows = spark.createDataFrame([("a", str(n), "fr", n) for n in (5, 1, 3)], SCHEMA)
     assert [r.seed for r in reports.TAGGING_SHEET.of(rows).collect()] == ["1", "3", "5"]
 
 
 def test_curation_reports(spark, tmp_path):
     words = ["hotel nosy be", "hotel tui", "bateau depuis nosy be", "apk", "avion"]
-    rows = spark.createDataFrame([(n, w, "s", "en") for n, w in enumerate(words)], "id long, keyword string, seed string, lang string")
-    write_curation(curate(rows, "en"), str(tmp_path), "en")
+    rows = spark.createDataFrame([(w, "s", "en", n) for n, w in enumerate(words)], SCHEMA)
+    write_curation(curate(rows, "en"), str(tmp_path), "en", tie="ord")
     assert [r[0] for r in lines(tmp_path / "to_tag_en")[1:]] == ["avion", "hotel nosy be"]
     assert lines(tmp_path / "foreign_language_from_en")[1:] == [["fr", "bateau depuis nosy be", "s", "en"]]
 

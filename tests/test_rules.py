@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom import fixed_values as fixed
-from termloom.functions.rules import RuleTable, finite_texts
+from termloom.functions.rules import RuleTable, finite_texts, required_text
 from termloom.functions.text import ignoring_case
 from termloom.operators.diagnostics import CATEGORIES
 from termloom.operators.intent import ALL_TIERS, CONFIDENT
@@ -20,6 +20,7 @@ ODD = RuleTable(
         ("a", r"\bvisa\b"), ("a", r"\bvisa"), ("b", r"visa"), ("b", r"visa\b"), ("c", r"s"),
         ("c", r"\bé\b"), ("d", r"x+y"), ("d", r"^no"), ("e", r"\bvisa polic"), ("e", r"(a|b)?c-d"),
         ("f", r"\b foo"), ("f", r"foo \b"), ("g", r"end$"), ("g", r"o.+f"),
+        ("h", r"vis*a|tour .+"), ("h", r"trips?.*z+"),
     ]
 )
 
@@ -99,6 +100,15 @@ def test_finite_texts():
     assert finite_texts("what .+ mean") is None and finite_texts("to$") is None
 
 
+def test_required_text_is_in_every_match():
+    cases = {
+        r"what (does|do) .+ mean\b": "what ", r"\btravel to$": "travel to", "x+yz": "yz", "x+y": "x",
+        "ab*c{2}": "", "a|b": "", r"\d+ km": "", "^no": "no", "ab?cd": "cd", "[xy]ab.c": "ab",
+        "a.b*cd": "cd", "ab*": "a", "(a(b)c)d": "",
+    }
+    assert {pattern: required_text(pattern) for pattern in cases} == cases
+
+
 def test_nearly_all_fixed_rules_are_searched_together():
     assert [p for _, p in ALL_TIERS.open_rules] == []
     assert [p for _, p in NOISE.open_rules] == [r"what (does|do) .+ mean\b", r"\btravel to$"]

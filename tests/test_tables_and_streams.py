@@ -125,6 +125,12 @@ def test_append_twice_adds_nothing(spark, tmp_path):
     assert [r.keyword for r in first_keywords(read_keywords(spark, table), 2).collect()] == ["x", "x"]
 
 
+def test_missing_key_parts_are_stored_once(spark, tmp_path):
+    table = str(tmp_path / "keywords")
+    rows = suggestions(spark, [("x", None, "1"), ("x", "", "2"), ("y", None, "3")])
+    assert append_keywords(rows, table) == 2 and append_keywords(rows, table) == 0
+
+
 def test_language_filter_prunes_to_one_folder(spark, tmp_path):
     table = str(tmp_path / "keywords")
     append_keywords(suggestions(spark, [("x", "fr", "1"), ("x", "en", "2")]), table)
