@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared ``spark.checkpoint.dir``.
+    """A fresh folder below the ``spark.checkpoint.dir`` that driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is used.
+    Without that setting a run on one machine takes a temporary folder; a cluster needs the setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
