@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import suffixdedup, superkmer
+from termloom.llm import simhash, suffixdedup, superkmer
 from termloom.llm.tables import table
 
 
@@ -25,9 +25,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
