@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import simhash, suffixdedup, superkmer
+from termloom.llm import simhash, suffixdedup, superkmer, topk
 from termloom.llm.tables import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = superkmer.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -30,12 +34,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_top_k": """
+        with whole as (
+            select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as v from embeddings
+            where embedding is not null
+                and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from whole q join whole c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+        )
+        select query_id, rank, vec_id, score from ranked where rank <= 20
+    """,
     "op3_substring_dedup": """
         with words as (
             select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents
