@@ -116,3 +116,21 @@ def super_kmers(
     at = np.flatnonzero(first)
     counts = np.diff(np.append(at, len(starts)))
     return starts[at], counts, hashes[place[at]]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def plain_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased runs of letters and digits, and the first of each text, with one more bound."""
+    inside = _LETTER[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    stops[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return Rolling(_LOWER[data]).slices(starts, ends), np.searchsorted(starts, bounds)

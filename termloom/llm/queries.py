@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import simhash, suffixdedup, superkmer, topk
+from termloom.llm import decontaminate, mixing, quality, simhash, suffixdedup, superkmer, topk, toxicity
 from termloom.llm.tables import table
 
 
@@ -15,6 +15,11 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixture(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "n_tokens", "weight", "epoch", "place")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = superkmer.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -22,6 +27,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
+    return rows.select(
+        "doc_id",
+        (~toxicity.learnable()).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+        "offending",
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixdedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -29,23 +46,43 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.learnable())
+    return rows.select(
+        "doc_id",
+        (~quality.learnable()).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_top_k": """
         with whole as (
-            select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as v from embeddings
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
             where embedding is not null
-                and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
         ), scored as (
             select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
             from whole q join whole c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
