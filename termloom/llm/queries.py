@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, mixing, quality, simhash, suffixdedup, superkmer, topk, toxicity
+from termloom.llm import decontaminate, maincontent, mixing, preference, quality, simhash, suffixdedup, superkmer, topk, toxicity
 from termloom.llm.tables import table
 
 
@@ -27,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.main_content(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
@@ -39,6 +43,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preference.preference_format(preference.reply_pairs(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"], s["length"])), " ")
+    return rows.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixdedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -70,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_main_content": op4_main_content,
     "op5_toxicity": op5_toxicity,
+    "op6_preference": op6_preference,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
@@ -112,4 +124,51 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(k.k, '')) as kept_sha256
         from words w left join kept k using (doc_id)
     """,
+    "op6_preference": """
+        with t as (
+            select conv_id, row_number() over (
+                partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')
+            ) as i, coalesce(role, '') as role, coalesce(text, '') as text
+            from conversations where conv_id is not null
+        ), last as (
+            select conv_id, max(i) as at from t where role = 'assistant' group by conv_id
+        ), pairs as (
+            select l.conv_id, l.at, r.text as reply
+            from last l join last o on o.conv_id = xor(l.conv_id, 1) join t r on r.conv_id = o.conv_id and r.i = o.at
+        ), sides as (
+            select 'c' as side, conv_id, i, role, text from t join pairs using (conv_id)
+            union all
+            select 'r', conv_id, i, role, text from t join pairs using (conv_id) where i < at
+            union all
+            select 'r', conv_id, at, 'assistant', reply from pairs
+        ), same as (
+            select conv_id, i from sides group by conv_id, i
+            having count(*) = 2 and min(role) = max(role) and min(text) = max(text)
+        ), sizes as (
+            select conv_id, max(i) as n from sides group by conv_id
+        ), common as (
+            select p.conv_id, coalesce(min(s.i), max(z.n) + 1) - 1 as n_common
+            from pairs p join sizes z using (conv_id) left join (
+                select distinct conv_id, i from sides anti join same using (conv_id, i)
+            ) s using (conv_id) group by p.conv_id
+        ), shown as (
+            select side, conv_id, i, role, i <= n_common as shared,
+                '<|im_start|>' || role || chr(10)
+                || regexp_replace(text, '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') || '<|im_end|>' || chr(10) as s
+            from sides join common using (conv_id)
+        ), placed as (
+            select *, coalesce(sum(length(s)) over (
+                partition by side, conv_id, shared order by i rows between unbounded preceding and 1 preceding
+            ), 0) + 12 + length(role) + 1 as start, length(s) - 12 - length(role) - 2 as size from shown
+        ), texts as (
+            select conv_id, side, coalesce(string_agg(s, '' order by i) filter (where shared), '') as prompt,
+                coalesce(string_agg(s, '' order by i) filter (where not shared), '') as rest,
+                coalesce(string_agg(start::bigint || '+' || size, ' ' order by i)
+                    filter (where not shared and role = 'assistant'), '') as mask
+            from placed group by conv_id, side
+        )
+        select c.conv_id, n_common::int as n_common, c.prompt, c.rest as chosen, r.rest as rejected,
+            c.mask as chosen_mask, r.mask as rejected_mask
+        from texts c join texts r using (conv_id) join common using (conv_id) where c.side = 'c' and r.side = 'r'
+    """,
 }
