@@ -131,16 +131,16 @@ ORACLES: dict[str, str] = {
             ) as i, coalesce(role, '') as role, coalesce(text, '') as text
             from conversations where conv_id is not null
         ), last as (
-            select conv_id, max(i) as at from t where role = 'assistant' group by conv_id
+            select conv_id, max(i) as spot from t where role = 'assistant' group by conv_id
         ), pairs as (
-            select l.conv_id, l.at, r.text as reply
-            from last l join last o on o.conv_id = xor(l.conv_id, 1) join t r on r.conv_id = o.conv_id and r.i = o.at
+            select l.conv_id, l.spot, r.text as reply
+            from last l join last o on o.conv_id = xor(l.conv_id, 1) join t r on r.conv_id = o.conv_id and r.i = o.spot
         ), sides as (
             select 'c' as side, conv_id, i, role, text from t join pairs using (conv_id)
             union all
-            select 'r', conv_id, i, role, text from t join pairs using (conv_id) where i < at
+            select 'r', conv_id, i, role, text from t join pairs using (conv_id) where i < spot
             union all
-            select 'r', conv_id, at, 'assistant', reply from pairs
+            select 'r', conv_id, spot, 'assistant', reply from pairs
         ), same as (
             select conv_id, i from sides group by conv_id, i
             having count(*) = 2 and min(role) = max(role) and min(text) = max(text)
