@@ -239,9 +239,17 @@ def _marks(rule: Rule, match: Match, batches: Iterator[pa.RecordBatch]) -> Itera
         of = np.array([number.setdefault(x, len(number)) for x in zip(keys.tolist(), strings)], np.int64)
         order = np.lexsort((starts, docs, of))
         lead = order[np.flatnonzero(np.append(True, np.diff(of[order]) > 0))]
-        again = match(
-            rule, [strings[i] for i in lead], keys[lead], docs[lead], starts[lead], table.column("windows").to_numpy()[lead]
-        )
+        windows = table.column("windows").to_numpy()[lead]
+        again = [np.zeros(n, bool) for n in windows.tolist()]
+        # windows of one string hold its minimiser at different places, so none equals another: a string that
+        # is alone in its bucket has nothing to be compared with
+        _, bucket, size = np.unique(keys[lead], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(size[bucket] > 1)
+        if len(some):
+            at = lead[some]
+            matched = match(rule, [strings[i] for i in at], keys[at], docs[at], starts[at], windows[some])
+            for i, mask in zip(some.tolist(), matched):
+                again[i] = mask
         marked = np.array([x.any() for x in again])
         places = table.column("starts").to_pylist()
         single = np.bincount(of)[of] == 1

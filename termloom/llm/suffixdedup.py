@@ -43,52 +43,42 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         out[more] = codes[ends[which[more]] - length - 1]
         return out
 
-    small = np.int16 if rounds < 2**15 else np.int64
+    small = np.uint8 if rounds < 2**8 else np.int16 if rounds < 2**15 else np.int64
     bwt = before(np.arange(n), 0)
     prefix = np.zeros(n, small)
-    number = np.arange(n, dtype=np.int32)
-    length = np.zeros(n, small)
+    suffix = np.arange(n, dtype=np.int64) * (rounds + 1)  # string number and length in one
     new = lengths > 0  # places whose symbol was set in the last round
     for j in range(1, rounds + 1):
         # a stable sort of the symbols puts the suffixes, each longer by its symbol, in order
         source = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
-        symbol = bwt[source]
         inserted = new[source]
         fresh = np.flatnonzero(inserted)
-        touched = inserted.copy()
-        touched[1:] |= inserted[:-1]
-        touched = np.flatnonzero(touched)
-        touched = touched[touched > 0]
-        touched = touched[symbol[touched] == symbol[touched - 1]]
-        out_bwt = np.empty(n + len(source), np.uint8)
-        out_prefix = np.zeros(n + len(source), small)
-        out_number = np.empty(n + len(source), np.int32)
-        out_length = np.empty(n + len(source), small)
-        for out, old in ((out_bwt, bwt), (out_prefix, prefix), (out_number, number), (out_length, length)):
-            out[:n] = old[:n]
-            out[n:][~inserted] = old[n:]
-        which = number[source[fresh]]
-        at = n + fresh
-        out_bwt[at] = before(which, j)
-        out_number[at] = which
-        out_length[at] = j
-        # common prefixes: one more than the least between the two sources
-        out_prefix[at] = 0
-        follow = n + fresh + 1
-        out_prefix[follow[follow < len(out_prefix)]] = 0
+        at, old = n + fresh, n + np.flatnonzero(~inserted)
+        which = suffix[source[fresh]] // (rounds + 1)
+        symbols = before(which, j)
+        size = n + len(source)
+        out_bwt, out_prefix, out_suffix = np.empty(size, np.uint8), np.empty(size, small), np.empty(size, np.int64)
+        for out, was, added in ((out_bwt, bwt, symbols), (out_prefix, prefix, 0), (out_suffix, suffix, which * (rounds + 1) + j)):
+            out[:n] = was[:n]
+            out[old] = was[n:]
+            out[at] = added
+        # common prefixes next to what was inserted: one more than the least between the two sources
+        touched = np.unique(np.append(fresh, fresh + 1))
+        touched = touched[(touched > 0) & (touched < len(source))]
+        low, high = source[touched - 1], source[touched]
+        same = bwt[low] == bwt[high]
+        out_prefix[n + touched[~same]] = 0
+        touched, low, high = touched[same][::-1], low[same][::-1], high[same][::-1]
         if len(touched):
-            low, high = source[touched - 1] + 1, source[touched] + 1
-            down = touched.argsort()[::-1]
             pairs = np.empty(2 * len(touched), np.int64)
-            pairs[::2], pairs[1::2] = low[down], high[down]
-            padded = np.append(prefix, 0).astype(small)
-            least = np.minimum.reduceat(padded, pairs)[::2]
-            out_prefix[n + touched[down]] = 1 + least
-        bwt, prefix, number, length = out_bwt, out_prefix, out_number, out_length
-        new = np.zeros(len(bwt), bool)
-        new[at] = bwt[at] > 0
+            pairs[::2], pairs[1::2] = low + 1, high + 1
+            least = np.minimum.reduceat(np.append(prefix, prefix[:1]), pairs)[::2]
+            out_prefix[n + touched] = least + 1
+        bwt, prefix, suffix = out_bwt, out_prefix, out_suffix
+        new = np.zeros(size, bool)
+        new[at] = symbols > 0
     values = np.append(0, used.astype(np.int16) + 1)
-    return number, length, prefix, values[bwt]
+    return suffix // (rounds + 1), suffix % (rounds + 1), prefix, values[bwt]
 
 
 def _by_common_prefix(
