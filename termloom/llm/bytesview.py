@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,6 +29,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def chunks(bounds: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes, so that what is made of a batch at once stays bounded."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without space, tab, line and page breaks) and the first
     word of each text, with one more bound at the end."""

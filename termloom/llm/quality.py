@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.bytesview import Rolling, bytes_of, words_of
+from termloom.llm.bytesview import Rolling, bytes_of, chunks, words_of
 from termloom.llm.labelled import fold, logit, one_label, sampled, sigmoid
 from termloom.llm.tables import Workspace
 
@@ -116,7 +116,12 @@ def statistics_of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = statistics_of(*bytes_of(batch.column(1)))
+        data, bounds = bytes_of(batch.column(1))
+        parts = [
+            statistics_of(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+            for low, high in chunks(bounds, 2 << 20)
+        ]
+        x = np.concatenate([*parts, np.zeros((0, len(STATISTICS)))])
         flat = pa.array(x.ravel())
         offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
         yield pa.RecordBatch.from_arrays(

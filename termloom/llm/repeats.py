@@ -50,7 +50,7 @@ class Rule:
     #: Occurrences from which a minimiser's windows travel singly; changes no result.
     frequent: int = 50_000
     #: Distinct strings that are compared at once, unless one bucket has more.
-    strings_at_once: int = 16_384
+    strings_at_once: int = 8_192
 
 
 def blocks_of(docs: DataFrame, id_column: str, text_column: str, rule: Rule) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.bytesview import bytes_of, words_of
+from termloom.llm.bytesview import bytes_of, chunks, words_of
 from termloom.llm.components import components
 from termloom.llm.repeats import whole_groups
 from termloom.llm.tables import Workspace
@@ -44,40 +44,44 @@ def posting_positions(matches: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8), min(3, matches)))
 
 
-def _fingerprints(size: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(size: int, seed: int, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
+    starts, ends, first = words_of(data, bounds)
+    # the words' lower-cased bytes, each word with a space behind
+    inside = np.zeros(len(data) + 1, np.int32)
+    inside[starts] += 1
+    inside[ends] -= 1
+    lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    to = np.cumsum(ends - starts + 1)
+    packed = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
+    fill = np.ones(len(packed), bool)
+    fill[to - 1] = False
+    packed[fill] = lower[np.cumsum(inside[:-1]) > 0]
+    text = packed.tobytes()
+    begin, end = to - (ends - starts) - 1, to - 1
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if a == b:
+            continue
+        n = max(1, b - a - size + 1)
+        stops = end[b - n : b]
+        hashes = np.array([digest(text[x:y], seed) for x, y in zip(begin[a : a + n].tolist(), stops.tolist())], np.uint64)
+        totals = np.zeros(64, np.int64)
+        for at in range(0, n, 4096):
+            octets = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)
+            totals += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(totals * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def _fingerprints(size: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = bytes_of(batch.column(1))
-        starts, ends, first = words_of(data, bounds)
-        # one space between words: the words' bytes, each with a space behind
-        inside = np.zeros(len(data) + 1, np.int32)
-        inside[starts] += 1
-        inside[ends] -= 1
-        lower = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0)).astype(np.uint8)
-        sizes = ends - starts
-        to = np.cumsum(sizes + 1)
-        packed = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
-        fill = np.ones(len(packed), bool)
-        fill[to - 1] = False
-        packed[fill] = lower[np.cumsum(inside[:-1]) > 0]
-        text = packed.tobytes()
-        begin, end = to - sizes - 1, to - 1
-        out = np.zeros(batch.num_rows, np.uint64)
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            if a == b:
-                continue
-            last = max(a + 1, b - size + 1)
-            stop = end[min(a + size - 1, b - 1) : b] if b - a > size else end[b - 1 : b]
-            totals, n = np.zeros(64, np.int64), last - a
-            hashes = np.array(
-                [digest(text[x:y], seed) for x, y in zip(begin[a:last].tolist(), stop.tolist())], np.uint64
-            )
-            for at in range(0, n, 4096):
-                part = hashes[at : at + 4096]
-                totals += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-                    axis=0, dtype=np.int64
-                )
-            out[i] = np.packbits(totals * 2 > n, bitorder="little").view(np.uint64)[0]
+        parts = [
+            _bits(size, seed, data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+            for low, high in chunks(bounds)
+        ]
+        out = np.concatenate([*parts, np.zeros(0, np.uint64)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "bits"])
 
 

@@ -43,42 +43,53 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         out[more] = codes[ends[which[more]] - length - 1]
         return out
 
-    small = np.uint8 if rounds < 2**8 else np.int16 if rounds < 2**15 else np.int64
-    bwt = before(np.arange(n), 0)
-    prefix = np.zeros(n, small)
-    suffix = np.arange(n, dtype=np.int64) * (rounds + 1)  # string number and length in one
-    new = lengths > 0  # places whose symbol was set in the last round
+    # a cell holds a symbol of the transform in its low byte and a common prefix above
+    kind = np.uint16 if rounds < 2**8 else np.uint32
+    which, at = np.arange(n), np.arange(n)  # strings with a symbol set in the last round, and its places
+    cells = before(which, 0).astype(kind)
     for j in range(1, rounds + 1):
+        which, at = which[lengths[which] >= j], at[lengths[which] >= j]
         # a stable sort of the symbols puts the suffixes, each longer by its symbol, in order
+        bwt = cells.astype(np.uint8)
         source = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
+        new = np.zeros(len(cells), bool)
+        new[at] = True
         inserted = new[source]
         fresh = np.flatnonzero(inserted)
-        at, old = n + fresh, n + np.flatnonzero(~inserted)
-        which = suffix[source[fresh]] // (rounds + 1)
-        symbols = before(which, j)
-        size = n + len(source)
-        out_bwt, out_prefix, out_suffix = np.empty(size, np.uint8), np.empty(size, small), np.empty(size, np.int64)
-        for out, was, added in ((out_bwt, bwt, symbols), (out_prefix, prefix, 0), (out_suffix, suffix, which * (rounds + 1) + j)):
-            out[:n] = was[:n]
-            out[old] = was[n:]
-            out[at] = added
+        which = which[np.searchsorted(at, source[fresh])]
+        at = n + fresh
+        out = np.empty(n + len(source), kind)
+        out[:n] = cells[:n]
+        out[n:][~inserted] = cells[n:]
+        out[at] = before(which, j)
         # common prefixes next to what was inserted: one more than the least between the two sources
-        touched = np.unique(np.append(fresh, fresh + 1))
-        touched = touched[(touched > 0) & (touched < len(source))]
+        touched = inserted
+        touched[1:] |= new[source[:-1]]
+        touched = np.flatnonzero(touched)[::-1]
+        touched = touched[touched > 0]
         low, high = source[touched - 1], source[touched]
         same = bwt[low] == bwt[high]
-        out_prefix[n + touched[~same]] = 0
-        touched, low, high = touched[same][::-1], low[same][::-1], high[same][::-1]
+        out[n + touched[~same]] &= kind(255)
+        touched, low, high = touched[same], low[same], high[same]
         if len(touched):
+            prefix = np.append(cells >> kind(8), kind(0))
             pairs = np.empty(2 * len(touched), np.int64)
             pairs[::2], pairs[1::2] = low + 1, high + 1
-            least = np.minimum.reduceat(np.append(prefix, prefix[:1]), pairs)[::2]
-            out_prefix[n + touched] = least + 1
-        bwt, prefix, suffix = out_bwt, out_prefix, out_suffix
-        new = np.zeros(size, bool)
-        new[at] = symbols > 0
+            least = np.minimum.reduceat(prefix, pairs)[::2]
+            out[n + touched] = (out[n + touched] & kind(255)) | ((least + kind(1)) << kind(8))
+        cells = out
+    # number and length of the suffixes: each string is followed through the finished transform
+    bwt = cells.astype(np.uint8)
+    number, length, onward = np.empty(len(cells), np.int64), np.empty(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    source = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
+    onward[source] = n + np.arange(len(source))
+    which, at = np.arange(n), np.arange(n)
+    for j in range(rounds + 1):
+        number[at], length[at] = which, j
+        more = bwt[at] > 0
+        which, at = which[more], onward[at[more]]
     values = np.append(0, used.astype(np.int16) + 1)
-    return suffix // (rounds + 1), suffix % (rounds + 1), prefix, values[bwt]
+    return number, length, cells >> kind(8), values[bwt]
 
 
 def _by_common_prefix(

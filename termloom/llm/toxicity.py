@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.bytesview import Rolling, bytes_of
+from termloom.llm.bytesview import Rolling, bytes_of, chunks
 from termloom.llm.labelled import best_cut, fold, logit, one_label, sampled, sigmoid
 
 #: Labelled rows per label that the model is fitted on at most, and the characters of each that it reads.
-FIT_ROWS, FIT_CHARS = 3000, 20_000
+FIT_ROWS, FIT_CHARS = 2000, 10_000
 #: Lengths of word beginnings in bytes, which are features beside the words.
 BEGINNINGS = (4, 5, 6)
 CUT, OFFENDING = 0.7, 0.5
@@ -166,15 +166,18 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 80, rate: float = 0.
 def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = bytes_of(batch.column(batch.num_columns - 1))
-        bags = bags_of(data, bounds)
-        logits = model.logits(bags)
-        scores = model.scores(_none_toxic(bags, logits))
-        offending: list[list[str]] = [[] for _ in range(batch.num_rows)]
-        for i in np.flatnonzero(logits >= logit(OFFENDING)).tolist():
-            low, high = bags.bounds[:, i]
-            offending[bags.doc_of_sentence[i]].append(data[low:high].tobytes().decode("utf-8", "replace"))
+        scores, offending = [np.zeros(0)], [[] for _ in range(batch.num_rows)]
+        for low, high in chunks(bounds):
+            own = data[bounds[low] : bounds[high]]
+            bags = bags_of(own, bounds[low : high + 1] - bounds[low])
+            logits = model.logits(bags)
+            scores.append(model.scores(_none_toxic(bags, logits)))
+            for i in np.flatnonzero(logits >= logit(OFFENDING)).tolist():
+                first, last = bags.bounds[:, i]
+                text = own[first:last].tobytes().decode("utf-8", "replace")
+                offending[low + bags.doc_of_sentence[i]].append(text)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(scores), pa.array(offending, pa.list_(pa.string()))],
+            [*batch.columns[:-1], pa.array(np.concatenate(scores)), pa.array(offending, pa.list_(pa.string()))],
             [*batch.schema.names[:-1], "score", "offending"],
         )
 
@@ -190,7 +193,7 @@ def toxicity(
     """The input's columns, with ``score`` (0 to 1) and ``offending`` (sentences that score at least 0.5).
 
     ``labels`` has ``doc_id, toxic``; ``learn_from`` says, by document id, which rows may be learned from. The
-    model is fitted on at most ``fit_rows`` rows of each label and 20,000 characters of each; every whole text
+    model is fitted on at most ``fit_rows`` rows of each label and 10,000 characters of each; every whole text
     is scored, in chunks of rows. A text without words scores 0. Missing texts are empty; input columns named
     like the two new ones give way.
     """
