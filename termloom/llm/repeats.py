@@ -273,7 +273,7 @@ def _rewrite(rule: Rule, schema: pa.Schema, left: pa.Table, right: pa.Table) ->
     row = left.to_pylist()[0]
     block = Block(row, rule)
     n = len(block.values)
-    cover = np.zeros(n + 1, np.int64)
+    cover = np.zeros(n + 1, np.int32)
     for places, doc, start, again in zip(
         right.column("starts").to_pylist(),
         right.column("first_doc").to_pylist(),
@@ -292,13 +292,13 @@ def _rewrite(rule: Rule, schema: pa.Schema, left: pa.Table, right: pa.Table) ->
             at = (places[~later][:, None] + marked[None, :]).ravel()
             np.add.at(cover, at, 1)
             np.add.at(cover, at + rule.window, -1)
-    gone = np.cumsum(cover[:n]) > 0
-    sums = np.append(0, np.cumsum(gone))
+    gone = np.cumsum(cover[:n], dtype=np.int32) > 0
+    sums = np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
     removed = sums[block.units[1:]] - sums[block.units[:-1]]
     opens = gone.copy()
     opens[1:] &= ~gone[:-1]
     opens[block.units[:-1][block.units[:-1] < n]] = gone[block.units[:-1][block.units[:-1] < n]]
-    sums = np.append(0, np.cumsum(opens))
+    sums = np.append(np.int32(0), np.cumsum(opens, dtype=np.int32))
     spans = sums[block.units[1:]] - sums[block.units[:-1]]
     kept = []
     for a, b, took in zip(block.units[:-1].tolist(), block.units[1:].tolist(), removed.tolist()):
