@@ -22,7 +22,8 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.noise import route_noise
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
-from termloom.session import shared_folder, spread
+from termloom.session import shared_folder
+from termloom.sources.interest import read_interest
 from termloom.session import stored as stored_once
 from termloom.sinks import reports
 from termloom.sinks.tables import append_keywords, append_scores
@@ -150,8 +151,8 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for rule queries, which need all cores even where the table is one small file."""
-    return spread(keywords(spark, sf_dir), "id")
+    """The same for rule queries, read as the table comes."""
+    return keywords(spark, sf_dir)
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +240,13 @@ def _(spark, sf_dir):
     customers = _read(spark, sf_dir, "customer").join(
         _read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     ).select(F.col("c_custkey").alias("custkey"), F.col("n_name").alias("geo"))
-    # a customer may hold any share of the orders: reduce them before the join shuffles them
-    parts = scores(spark, sf_dir).groupBy(
-        "custkey", "keyword", in_cyclone_season(F.col("month")).alias("cyclone")
+    # a customer's orders are cut down by month only, so they are joined as they come (a skewed
+    # customer is split) and reduced to a few rows per task behind the join
+    parts = scores(spark, sf_dir).join(customers, "custkey").groupBy(
+        "geo", "keyword", in_cyclone_season(F.col("month")).alias("cyclone")
     ).agg(*mean_parts(F.col("interest_score")))
     cyclone = F.col("cyclone")
-    return parts.join(customers, "custkey").groupBy("geo", "keyword").agg(
+    return parts.groupBy("geo", "keyword").agg(
         F.coalesce(round_exact(mean_of_parts(where=~cyclone)), F.lit(0.0)).alias(fixed.HIGH_SEASON),
         F.coalesce(round_exact(mean_of_parts(where=cyclone)), F.lit(0.0)).alias(fixed.CYCLONE_SEASON),
     )
@@ -277,18 +279,36 @@ def _(spark, sf_dir):
     return monthly_average(_lineitem_series(spark, sf_dir), ["keyword"])
 
 
+@query("interest_batches", f"""
+select keyword, cast(month(date) as int) as month, {_mean('value')} as interest_score from (
+  select l_shipdate as date, 'quantity' as keyword, l_quantity as value from lineitem
+  union all select l_shipdate, 'discount', l_discount from lineitem where l_returnflag = 'N'
+  union all select l_shipdate, 'tax', l_tax from lineitem where l_returnflag = 'N')
+group by 1, 2""")
+def _(spark, sf_dir):
+    landed = shared_folder(spark, "interest")
+    rows = _read(spark, sf_dir, "lineitem").withColumn("isPartial", F.lit(False))
+    date, partial = F.col("l_shipdate").alias("date"), "isPartial"
+    quantity, discount, tax = (F.col(f"l_{name}").alias(name) for name in ("quantity", "discount", "tax"))
+    rows.select(date, quantity, discount, partial).write.parquet(f"{landed}/batch=0")
+    later = rows.where(F.col("l_returnflag") == "N")
+    later.select(date, discount, tax, partial).write.parquet(f"{landed}/batch=1")
+    return monthly_average(read_interest(spark, landed), ["keyword"], batch="batch")
+
+
 @query("scores_stored_by_geo", f"""
 select o_orderpriority as keyword, '' as geo, cast(month(o_orderdate) as int) as month,
   {_mean('o_totalprice')} as interest_score
 from orders where o_orderstatus = 'F' group by 1, 3""")
 def _(spark, sf_dir):
     table = shared_folder(spark, "scores")
-    for geo, status in [("", "F"), ("FR", "O"), ("DE", "P")]:
-        orders = _read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select(
-            F.col("o_orderpriority").alias("keyword"), F.col("o_orderdate").alias("date"),
-            F.col("o_totalprice").alias("value"),
-        )
-        append_scores(monthly_average(orders, ["keyword"]), table, geo)
+    status = F.col("o_orderstatus")
+    orders = _read(spark, sf_dir, "orders").select(
+        F.when(status == "F", "").when(status == "O", "FR").when(status == "P", "DE").alias("geo"),
+        F.col("o_orderpriority").alias("keyword"), F.col("o_orderdate").alias("date"),
+        F.col("o_totalprice").alias("value"),
+    )
+    append_scores(monthly_average(orders, ["geo", "keyword"]), table, geo=None)
     return read_scores(spark, table, "").select("keyword", "geo", "month", "interest_score")
 
 
@@ -297,7 +317,10 @@ def _(spark, sf_dir):
 
 @query("keywords_by_lang", "select doc_id as id, text as keyword, lang from documents where lang = 'fr'")
 def _(spark, sf_dir):
-    return keywords(spark, sf_dir).where(F.col("lang") == "fr").select("id", "keyword", "lang")
+    table = shared_folder(spark, "keywords-by-lang")
+    rows = keywords(spark, sf_dir).withColumn("collected_at", F.current_timestamp()).drop("ord")
+    rows.write.partitionBy("lang").parquet(table)
+    return read_keywords(spark, table, "fr").select("id", "keyword", "lang")
 
 
 @query("keywords_head", """

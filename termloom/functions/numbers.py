@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _SPLITTER = float(2**27 + 1)
 _LIMIT = float(2**46)  # beyond it doubles are coarser than two decimals
+_BITS = 24
+_PARTS = ("_high", "_low", "_rest", "_n")
 
 
 def round_exact(value: Column, places: int = 2) -> Column:
@@ -36,32 +38,42 @@ def round_exact(value: Column, places: int = 2) -> Column:
 def _grid(value: Column, places: int) -> tuple[Column, Column, Column]:
     scale = float(10**places)
     value = F.when(~F.isnan(value), value)
-    grid = F.rint(value * scale)
+    # what is too large for the grid, infinity too, is summed as a double
+    grid = F.when(F.abs(value) < _LIMIT, F.rint(value * scale)).otherwise(F.when(value.isNotNull(), 0.0))
     return grid.cast("long"), value - grid / scale, value
 
 
+def _sums(units: Column, rest: Column) -> list[Column]:
+    """The high and low bits of the units are summed apart, so that no number of rows overflows a sum."""
+    return [F.sum(F.shiftright(units, _BITS)), F.sum(units.bitwiseAND(F.lit((1 << _BITS) - 1))), F.sum(rest)]
+
+
+def _mean(high: Column, low: Column, rest: Column, n: Column, places: int) -> Column:
+    units = high.cast("double") * float(1 << _BITS) + low.cast("double")
+    return F.try_divide(units / float(10**places) + rest, n.cast("double"))
+
+
 def exact_mean(value: Column, places: int = 2) -> Column:
     """Mean whose sum does not depend on row order for values of at most ``places`` decimals.
 
-    Such values are summed as integers. What is off that grid is summed as a small double
+    Such values are summed as integers. What is off that grid, or beyond 2**46, is summed as a double
     beside it, so any input is summed whole. Missing and NaN values are skipped. All
     buffers are primitive, so Spark aggregates partially by hash before the shuffle.
     """
     units, rest, value = _grid(value, places)
-    total = F.sum(units).cast("double") / float(10**places) + F.sum(rest)
-    return F.try_divide(total, F.count(value).cast("double"))
+    return _mean(*_sums(units, rest), F.count(value), places)
 
 
 def mean_parts(value: Column, places: int = 2) -> list[Column]:
-    """The sums behind ``exact_mean`` as columns, to aggregate before a join and finish after it."""
+    """The sums behind ``exact_mean`` as columns, to aggregate on and finish later."""
     units, rest, value = _grid(value, places)
-    return [F.sum(units).alias("_units"), F.sum(rest).alias("_rest"), F.count(value).alias("_n")]
+    columns = [*_sums(units, rest), F.count(value)]
+    return [column.alias(name) for column, name in zip(columns, _PARTS, strict=True)]
 
 
 def mean_of_parts(where: Column, places: int = 2) -> Column:
     """``exact_mean`` over rows of ``mean_parts`` that fulfil a condition."""
-    units, rest, n = (F.sum(F.when(where, F.col(name))) for name in ("_units", "_rest", "_n"))
-    return F.try_divide(units.cast("double") / float(10**places) + rest, n.cast("double"))
+    return _mean(*[F.sum(F.when(where, F.col(name))) for name in _PARTS], places)
 
 
 def rounded_mean(value: Column, places: int = 2) -> Column:

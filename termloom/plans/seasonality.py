@@ -28,5 +28,5 @@ def store_monthly_scores(
 def export_scores(spark: SparkSession, path: str, folder: str, geo: str = "") -> None:
     """Monthly matrix and season summary of one market."""
     scores, suffix = read_scores(spark, path, geo), market_label(geo)
-    reports.MONTHLY.write(monthly_matrix(scores), f"{folder}/seasonality_monthly_{suffix}")
-    reports.SEASONS.write(season_summary(scores), f"{folder}/seasonality_summary_{suffix}")
+    reports.MONTHLY.write(monthly_matrix(scores), f"{folder}/seasonality_monthly_{suffix}", tie=None)
+    reports.SEASONS.write(season_summary(scores), f"{folder}/seasonality_summary_{suffix}", tie=None)

@@ -36,16 +36,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a file scan that comes in fewer pieces than there are cores, dealt out by a unique key.
-
-    Rule evaluation is bound by the CPU, so a table in one small file would keep one core busy.
-    An input with enough pieces, as any large one has, is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Rows computed once and read back from a table in the shared folder.
 

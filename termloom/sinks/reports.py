@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from termloom.fixed_values import CYCLONE_SEASON, HIGH_SEASON, MONTH_LABELS
 
-ROWS_PER_FILE = 1_000_000
-
-
 @dataclass(frozen=True)
 class Report:
     """Columns of a report (name -> source column, None for a blank one) and its order."""
@@ -24,8 +21,7 @@ class Report:
 
         The tie column also lets the range partitioning split a key that very many rows share.
         """
-        ties = [tie] if tie and tie in rows.columns else []
-        return rows.orderBy(*self.order, *ties).select(*self.selected())
+        return rows.orderBy(*self.order, *_tie(rows, tie)).select(*self.selected())
 
     def selected(self) -> list[Column]:
         return [
@@ -34,24 +30,34 @@ class Report:
         ]
 
     def write(
-        self, rows: DataFrame, path: str, files: int | None = None, tie: str | None = "ord"
+        self,
+        rows: DataFrame,
+        path: str,
+        files: int | None = None,
+        tie: str | None = "ord",
+        rows_per_file: int = 1_000_000,
     ) -> None:
-        """Replace the report at ``path`` by part files in order, of bounded length.
+        """Replace the report at ``path`` by part files in order, of at most ``rows_per_file`` rows.
 
-        ``files`` fixes the number of ranges, e.g. 1 for a small report as a single file.
+        ``files`` fixes their number instead, e.g. 1 for a single file, whatever its length.
         """
-        ties = [tie] if tie and tie in rows.columns else []
-        order = [*self.order, *ties]
+        order = [*self.order, *_tie(rows, tie)]
         ranged = rows.orderBy(*order) if files is None else (
             rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
         )
         out = ranged.select(*self.selected()).write.mode("overwrite")
-        out.option("maxRecordsPerFile", ROWS_PER_FILE).csv(
+        out.option("maxRecordsPerFile", rows_per_file if files is None else 0).csv(
             path, header=True, escape='"', emptyValue="", encoding="UTF-8",
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         )
 
 
+def _tie(rows: DataFrame, tie: str | None) -> list[str]:
+    if tie and tie not in rows.columns:
+        raise ValueError(f"the rows have no column {tie} to order equal rows by; pass tie=None if there are none")
+    return [tie] if tie else []
+
+
 def _same(*names: str) -> dict[str, str | None]:
     return {name: name for name in names}
 

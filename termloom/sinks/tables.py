@@ -45,20 +45,23 @@ def append_keywords(incoming: DataFrame, path: str, at: Column | None = None) ->
 
 
 def append_scores(
-    scores: DataFrame, path: str, geo: str = "", at: Column | None = None
+    scores: DataFrame, path: str, geo: str | None = "", at: Column | None = None
 ) -> None:
     """Append month scores (keyword, month, interest_score) of a market; repeats add up.
 
+    With ``geo=None`` the scores name their markets in a column ``geo``, and all are written at once.
+
     ``ord`` counts the appends, so that the last score of a month can be told.
     """
     ensure_table(scores.sparkSession, path, SCORES, "market")
     stored = read_scores_table(scores.sparkSession, path)
+    market = F.coalesce("geo", F.lit("")) if geo is None else F.lit(geo)
     scores.select(
         "keyword",
-        F.lit(geo).alias("geo"),
+        market.alias("geo"),
         F.col("month").cast("int").alias("month"),
         F.col("interest_score").cast("double").alias("interest_score"),
         stored.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar().alias("ord"),
         (F.current_timestamp() if at is None else at).alias("collected_at"),
-        F.lit(market_label(geo)).alias("market"),
+        F.when(market == "", market_label("")).otherwise(market).alias("market"),
     ).write.mode("append").partitionBy("market").parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.schemas import SHEET_COLUMNS
 
 OPTIONAL = ("intent", "notes")
+#: Distance of two files' first places, as of two partitions in Spark's own row numbers.
+ROWS_OF_A_FILE = 1 << 33
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +32,12 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
         for name in SHEET_COLUMNS
     }
     extra = [name for name in raw.columns if name not in SHEET_COLUMNS]
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
+    # files in the order of their names, which are few beside their rows; a file is one task front to back
+    names = raw.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    files = names.withColumn("_at", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    placed = raw.withColumns(columns).select(
+        *SHEET_COLUMNS, *extra, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id")
     )
-    return raw.withColumns(columns).select(*SHEET_COLUMNS, *extra, place.alias("ord"))
+    first = placed.groupBy("_file").agg(F.min("_id").alias("_first"))
+    at = F.col("_at") * F.lit(ROWS_OF_A_FILE) + F.col("_id") - F.col("_first")
+    return placed.join(files.join(first, "_file"), "_file").select(*SHEET_COLUMNS, *extra, at.alias("ord"))

@@ -9,7 +9,8 @@ from termloom import schemas
 from termloom.fixed_values import SUGGESTION_SOURCE
 from termloom.functions.text import strip
 
-ITEMS_PER_PAYLOAD = 1 << 20
+#: Distance of two requests' numbers; a longer answer runs on into those of the next requests.
+REQUEST_STEP = 1 << 20
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -27,9 +28,6 @@ def decode_suggestions(payloads: DataFrame, source: str = SUGGESTION_SOURCE) ->
     """
     answer = F.try_variant_get(F.try_parse_json("payload"), "$[1]", "array<variant>")
     texts = F.filter(answer, lambda item: F.schema_of_variant(item) == "STRING")
-    place = F.when(F.col("pos") < ITEMS_PER_PAYLOAD, F.col("pos")).otherwise(
-        F.raise_error(F.lit("a payload holds more suggestions than an ord can number"))
-    )
     kept = [name for name in payloads.columns if name not in ("payload", "ord")]
     return (
         payloads.select(*kept, F.col("ord").alias("_request"), F.posexplode(texts))
@@ -37,7 +35,7 @@ def decode_suggestions(payloads: DataFrame, source: str = SUGGESTION_SOURCE) ->
             strip(F.try_variant_get("col", "$", "string")).alias("keyword"),
             F.lit(source).alias("source"),
             *kept,
-            (F.col("_request") * ITEMS_PER_PAYLOAD + place).alias("ord"),
+            (F.col("_request") * REQUEST_STEP + F.col("pos")).alias("ord"),
         )
         .where(F.col("keyword") != "")
     )

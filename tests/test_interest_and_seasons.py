@@ -57,7 +57,7 @@ def series(spark, tmp_path, name="wide"):
 
 def test_unpivot_drops_the_flag_but_not_partial_rows(spark, tmp_path):
     long = series(spark, tmp_path)
-    assert long.columns == ["date", "keyword", "value"] and long.count() == 12
+    assert long.columns == ["date", "batch", "keyword", "value"] and long.count() == 12
     assert {r.keyword for r in long.collect()} == {"nosy be", "a.b"}
 
 
@@ -114,16 +114,35 @@ def test_last_appended_score_wins(spark, tmp_path):
     assert monthly_matrix(read_scores(spark, table)).first()["Jan"] == 3.0
 
 
-@pytest.mark.parametrize("block", [1, 7, 1 << 18])
-def test_numbers_are_consecutive_per_group_in_any_block(spark, block):
-    rows = [("hot" if n % 3 else "cold", n * 11 % 997) for n in range(300)]
+@pytest.mark.parametrize("stride", [1, 11, 1 << 20])
+def test_numbers_are_consecutive_per_group_for_any_gaps(spark, stride):
+    rows = [((None, "hot", "cold")[n % 3], n * 11 % 997 * stride) for n in range(300)]
     df = spark.createDataFrame(rows, "g string, id long")
-    found = {(r.g, r.id): r.row_no for r in numbered(df, ["g"], "id", block=block).collect()}
-    for group in ("hot", "cold"):
+    found = {(r.g, r.id): r.row_no for r in numbered(df, ["g"], "id").collect()}
+    assert len(found) == 300
+    for group in ("hot", "cold", None):
         ids = sorted(i for g, i in rows if g == group)
         assert [found[group, i] for i in ids] == list(range(len(ids)))
 
 
+def test_batches_of_different_columns(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    spark.sql("select date'2024-01-01' as date, 1.0 as a, 2.0 as b, false as isPartial").write.parquet(f"{landed}/batch=0")
+    spark.sql("select date'2024-01-01' as date, 5.0 as b, 3.0 as c, false as isPartial").write.parquet(f"{landed}/batch=1")
+    rows = read_interest(spark, landed)
+    assert {(r.batch, r.keyword, r.value) for r in rows.collect()} == {(0, "a", 1.0), (0, "b", 2.0), (1, "b", 5.0), (1, "c", 3.0)}
+    means = monthly_average(rows, ["keyword"], batch="batch").collect()
+    assert {(r.keyword, r.interest_score) for r in means} == {("a", 1.0), ("b", 5.0), ("c", 3.0)}
+
+
+def test_scores_of_several_markets_at_once(spark, tmp_path):
+    table = str(tmp_path / "scores")
+    rows = [("", "k", 1, 2.0), ("FR", "k", 1, 3.0)]
+    append_scores(spark.createDataFrame(rows, "geo string, keyword string, month int, interest_score double"), table, None)
+    assert [r.interest_score for r in read_scores(spark, table, "FR").collect()] == [3.0]
+    assert [r.interest_score for r in read_scores(spark, table).collect()] == [2.0]
+
+
 def test_interest_requests_take_the_first_keywords(spark):
     rows = spark.createDataFrame([(n * 7, f"k{n}") for n in range(9)], "id long, keyword string")
     asked = {r.keyword: r.batch for r in interest_requests(rows, 7).collect()}

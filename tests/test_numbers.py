@@ -43,3 +43,11 @@ def test_mean_skips_missing_and_nan(spark):
     rows = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (2.0,)], "v double")
     assert rows.agg(rounded_mean(F.col("v"))).first()[0] == 1.5
     assert rows.where("v is null").agg(rounded_mean(F.col("v"))).first()[0] is None
+
+
+def test_means_of_large_and_infinite_values(spark):
+    mean = lambda *values: spark.createDataFrame([(v,) for v in values], "v double").agg(exact_mean(F.col("v"))).first()[0]
+    assert mean(1e17, 3e17) == 2e17
+    assert mean(float("inf"), 1.0) == float("inf")
+    assert mean(1e10, 2.5, float("nan"), None) == (1e10 + 2.5) / 2
+    assert mean(-0.05, -0.1) == -0.075
