@@ -14,12 +14,12 @@ def read_interest(
     """Long form (date, batch, keyword, value) of all landed Parquet batches below a folder.
 
     Batches hold different keywords, so their columns are merged, and a keyword has rows only in a batch
-    that holds a value of it. ``batch`` is the number of a folder ``batch=<n>``; without such folders it is the file's path, so
-    that later names are later batches.
+    that holds a value of it. ``batch`` is the number of a folder ``batch=<n>``; without such folders it is the path of a file's
+    folder, so that later names are later batches.
     """
     wide = spark.read.option("mergeSchema", True).parquet(path)
     if "batch" not in wide.columns:
-        wide = wide.withColumn("batch", F.col("_metadata.file_path"))
+        wide = wide.withColumn("batch", F.regexp_replace("_metadata.file_path", "/[^/]*$", ""))
     long = unpivot_interest(wide, date, partial, ["batch"])
     held = long.where(F.col("value").isNotNull()).select("batch", "keyword").distinct()
     return long.join(held, ["batch", "keyword"], "left_semi").select(date, "batch", "keyword", "value")
