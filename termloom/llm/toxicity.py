@@ -117,13 +117,15 @@ class Model:
 def _clear_features(bags: Bags, labels: np.ndarray) -> np.ndarray:
     """Features whose documents are mostly toxic, and clearly more often than documents are.
 
-    A sentence that the sample repeats counts where it stands first, so copies are no evidence.
+    A document of which most sentences stand in earlier ones is not counted, so copies are no evidence.
     """
     words = (bags.features[0] >> np.uint64(24)).astype(np.float64)
     prints = np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
-    own = np.zeros(len(prints), bool)
-    own[np.unique(prints, return_index=True)[1]] = True
-    counted = own[bags.sentence_of_word]
+    fresh = np.zeros(len(prints))
+    fresh[np.unique(prints, return_index=True)[1]] = 1
+    sentences = np.bincount(bags.doc_of_sentence, minlength=bags.docs)
+    own = 2 * np.bincount(bags.doc_of_sentence, fresh, bags.docs) > sentences
+    counted = own[bags.doc_of_sentence[bags.sentence_of_word]]
     doc = bags.doc_of_sentence[bags.sentence_of_word[counted]]
     base, clear = labels.mean(), []
     for column in bags.features:
