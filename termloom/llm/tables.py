@@ -24,6 +24,8 @@ class Workspace:
 
     def save(self, rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{self.root}/{name}")
+        # Spark removes the shuffle files behind a written table when the driver collects its garbage
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
