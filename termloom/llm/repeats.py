@@ -342,13 +342,11 @@ def remove_repeats(
         .sortWithinPartitions("key")
         .mapInArrow(partial(_repeated, rule), "block long, key long, frequent boolean")
     )
-    repeated = space.save(repeated, "repeated")
     strings = bare.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(partial(_strings, rule), STRING_SCHEMA)
     marks = (
         strings.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_marks, rule, match), MARK_SCHEMA)
     )
     marks = space.save(marks, "marks")
-    space.drop("repeated")
     schema = T.StructType(
         [x for x in docs.schema if x.name != text_column]
         + [T.StructField("kept", T.BinaryType())]
