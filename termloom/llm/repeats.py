@@ -274,24 +274,28 @@ def _rewrite(rule: Rule, schema: pa.Schema, left: pa.Table, right: pa.Table) ->
     block = Block(row, rule)
     n = len(block.values)
     cover = np.zeros(n + 1, np.int32)
-    for places, doc, start, again in zip(
-        right.column("starts").to_pylist(),
-        right.column("first_doc").to_pylist(),
-        right.column("first_start").to_pylist(),
-        right.column("again").to_pylist(),
-    ):
-        places, again = np.frombuffer(places, np.int64), np.frombuffer(again, np.uint8)
+    if right.num_rows:
+        right = right.combine_chunks()
+        data, bounds = bytes_of(right.column("starts").combine_chunks())
+        places, row_of = data.view(np.int64), np.repeat(np.arange(right.num_rows), np.diff(bounds) // 8)
+        again, bounds = bytes_of(right.column("again").combine_chunks())
         of = np.searchsorted(block.units, places, "right") - 1
+        doc, start = right.column("first_doc").to_numpy()[row_of], right.column("first_start").to_numpy()[row_of]
         later = block.docs[of] > doc
         if not rule.other_document:
             later |= places - block.units[of] > start
-        marked = np.flatnonzero(again)
+        # in a later copy of a string all its windows have an earlier one
         np.add.at(cover, places[later], 1)
-        np.add.at(cover, places[later] + len(again) - 1 + rule.window, -1)
-        if len(marked):
-            at = (places[~later][:, None] + marked[None, :]).ravel()
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + rule.window, -1)
+        np.add.at(cover, places[later] + np.diff(bounds)[row_of[later]] - 1 + rule.window, -1)
+        # in a first one only the marked
+        marked = np.flatnonzero(again)
+        begin = np.searchsorted(marked, bounds)
+        places, row_of = places[~later], row_of[~later]
+        n_marked = np.diff(begin)[row_of]
+        nth = np.arange(n_marked.sum()) - np.repeat(np.cumsum(n_marked) - n_marked, n_marked)
+        at = np.repeat(places - bounds[row_of], n_marked) + marked[np.repeat(begin[row_of], n_marked) + nth]
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + rule.window, -1)
     gone = np.cumsum(cover[:n], dtype=np.int32) > 0
     sums = np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
     removed = sums[block.units[1:]] - sums[block.units[:-1]]
