@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from termloom.session import shared_folder
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -23,9 +26,16 @@ class Workspace:
         self.root = shared_folder(spark, name)
 
     def save(self, rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{self.root}/{name}")
-        # Spark removes the shuffle files behind a written table when the driver collects its garbage
-        self.spark._jvm.System.gc()
+        # the table takes the place of the shuffle files behind it, which Spark removes as soon as it is written
+        before = self.spark.conf.get(CLEAN_SHUFFLES, None)
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            rows.write.parquet(f"{self.root}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN_SHUFFLES)
+            else:
+                self.spark.conf.set(CLEAN_SHUFFLES, before)
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
