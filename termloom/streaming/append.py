@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom import schemas
+from termloom.operators.keyed import first_spelling
+from termloom.plans.expand import EXPANSION
 from termloom.session import shared_folder
 from termloom.sinks.tables import append_keywords
 from termloom.sources.suggestions import decode_suggestions
 
 
 def stream_payloads(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Suggestions of landed JSON lines as a stream."""
+    """Suggestions of landed JSON lines as a stream, one spelling inside each expansion.
+
+    An expansion may go on in later files, so the spelling chosen for each of its keywords is kept in the
+    stream's state, which grows with the different keywords of each expansion. A keyword seen again comes out
+    again with the spelling of the smallest ``ord`` so far.
+    """
     landed = (
         spark.readStream.schema(schemas.PAYLOADS)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
     )
-    return decode_suggestions(landed)
+    return first_spelling(decode_suggestions(landed), EXPANSION)
 
 
 def append_stream(
@@ -27,20 +33,19 @@ def append_stream(
 ) -> StreamingQuery:
     """Append new keywords batch by batch; the stored table itself is the key state.
 
-    No state store grows with the stream, and a batch replayed after a failure adds nothing,
-    because its rows are already stored. ``once`` stops after the files that have landed.
+    A batch replayed after a failure adds nothing, because its rows are already stored; the same holds for rows that an
+    aggregating stream puts out again unchanged. ``once`` stops after the files that have landed.
     """
     spark = suggestions.sparkSession
 
+    place = shared_folder(spark, "append-batch")
+
     def add(batch: DataFrame, _: int) -> None:
-        # two branches of the append read the batch; lost blocks are computed again
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            append_keywords(batch, table)
-        finally:
-            batch.unpersist()
-
-    writer = suggestions.writeStream.foreachBatch(add).option(
+        # two branches of the append read the batch, so it is a table, which the next one replaces
+        batch.write.mode("overwrite").parquet(place)
+        append_keywords(batch.sparkSession.read.schema(batch.schema).parquet(place), table)
+
+    writer = suggestions.writeStream.outputMode("update").foreachBatch(add).option(
         "checkpointLocation", checkpoint or shared_folder(spark, "append-stream")
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -179,3 +179,20 @@ def test_stream_adds_what_is_new_and_survives_replay(spark, tmp_path):
     assert run("c1") == expected
     assert run("c2") == expected  # everything once more from the start
     assert read_keywords(spark, table).count() == 3
+
+
+def test_stream_stores_what_the_batch_does(spark, tmp_path):
+    landed, streamed, batched = tmp_path / "landed", str(tmp_path / "streamed"), str(tmp_path / "batched")
+    land(landed, "a.json", [("fr", "r", "r", 0, '["r", ["Nosy Be", "nosy be"]]')])
+    land(landed, "b.json", [
+        ("fr", "r", "r a", 1, '["r a", ["NOSY BE", "avis"]]'), ("fr", "s", "s", 2, '["s", ["nosy be", "Avis"]]'),
+    ])
+    append_stream(stream_payloads(spark, str(landed), 1), streamed, str(tmp_path / "state")).awaitTermination()
+    expand_into(read_payloads(spark, str(landed)), batched)
+    rows = [
+        {(r.keyword, r.lang, r.seed) for r in read_keywords(spark, table).collect()} for table in (streamed, batched)
+    ]
+    assert rows[0] == rows[1] == {
+        ("Nosy Be", "fr", "r"), ("avis", "fr", "r a"), ("nosy be", "fr", "s"), ("Avis", "fr", "s")
+    }
+    assert read_keywords(spark, streamed).count() == 4
