@@ -60,6 +60,7 @@ class Index:
     longest: int
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    question_words: list[int]
     answer_words: list[int]
 
 
@@ -82,7 +83,8 @@ def build_index(ids: list[int], texts: list[str], n: int, mean_length: float, fr
     question, answer = _hashes([q for q, _ in parts]), _hashes([a for _, a in parts])
     return Index(
         np.array(ids, np.int64), terms, impacts, block_max, max(map(len, words)),
-        [_shingles(w) for w in question], [_shingles(w) for w in answer], [len(w) for w in answer],
+        [_shingles(w) for w in question], [_shingles(w) for w in answer],
+        [len(w) for w in question], [len(w) for w in answer],
     )
 
 
@@ -129,16 +131,17 @@ def _verified(index: Index, data: np.ndarray, bounds: np.ndarray) -> list[dict[i
     out: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(bounds) - 1)]
     grams: dict[tuple[int, int, int], np.ndarray] = {}
     for d, low, high, item, score in _candidates(index, words, first):
-        def share(wanted: np.ndarray, size: int) -> float:
+        def share(wanted: np.ndarray, n_words: int) -> float:
             if not len(wanted):
                 return 1.0
+            size = min(SHINGLE, n_words)
             key = low, high, size
             if key not in grams:
                 grams[key] = Rolling(words[low:high]).grams(size) if high - low >= size else wanted[:0]
             return float(np.isin(wanted, grams[key]).mean())
 
-        question = share(index.questions[item], SHINGLE) if len(index.questions[item]) else 1.0
-        answer = share(index.answers[item], min(SHINGLE, max(1, index.answer_words[item])))
+        question = share(index.questions[item], index.question_words[item])
+        answer = share(index.answers[item], index.answer_words[item])
         if question >= OVERLAP and answer >= OVERLAP:
             old = out[d].get(item, (0.0, 0.0, 0.0))
             out[d][item] = max(old, (score, question, answer))

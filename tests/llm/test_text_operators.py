@@ -113,6 +113,30 @@ def test_leaks_against_brute_force(spark, monkeypatch, at_once):
     assert decontaminate.leaks(frame, spark.createDataFrame([], "item_id long, text string")).where(F.size("leaks") > 0).count() == 0
 
 
+def test_leaks_of_short_questions_against_brute_force(spark):
+    r = random.Random(13)
+    own = lambda i, part, n: " ".join(f"{part}{i}w{k}" for k in range(n))
+    items = [(n * 10 + m, own(n * 10 + m, "q", n).capitalize() + "?\n" + own(n * 10 + m, "a", m)) for n in range(1, 6) for m in (1, 3, 7)]
+    items += [(100 + n, own(n, "s", n) + ". " + own(n, "t", 9) + "!") for n in range(1, 6)] + [(110, "Lone"), (111, "Two lone")]
+    parts = [decontaminate.question_and_answer(t) for _, t in items]
+    docs = [prose(50, r) + " " + t.upper().replace("\n", " ") + " " + prose(200, r) for _, t in items]
+    docs += [f"{prose(9, r)} {part} {prose(9, r)}" for pair in parts for part in pair]
+    docs += [f"{q} {' '.join(reversed(a.split()))}" for q, a in parts] + [f"{' '.join(reversed(q.split()))} {a}" for q, a in parts]
+    words = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t).split()
+
+    def share(text, part):
+        wanted, have = words(part), words(text)
+        n = min(5, len(wanted))
+        cut = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        return len(cut(wanted) & cut(have)) / len(cut(wanted)) if wanted else 1.0
+
+    wanted = [[i for (i, _), pair in zip(items, parts) if all(share(d, x) >= 0.8 for x in pair)] for d in docs]
+    assert all(i in w for (i, _), w in zip(items, wanted))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    out = decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert [sorted(y.item_id for y in x.leaks) for x in sorted(out.collect(), key=lambda x: x.doc_id)] == [sorted(w) for w in wanted]
+
+
 # --- classifiers ---------------------------------------------------------------------------------------
 
 
