@@ -53,7 +53,7 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    items: np.ndarray
+    items: list[int | None]
     terms: np.ndarray  # sorted hashes
     impacts: np.ndarray  # term by item, relative to the item's own score
     block_max: np.ndarray  # term by block
@@ -64,10 +64,10 @@ class Index:
     answer_words: list[int]
 
 
-def build_index(ids: list[int], texts: list[str], n: int, mean_length: float, frequency: dict[int, int]) -> Index:
+def build_index(ids: list[int | None], texts: list[str], n: int, mean_length: float, frequency: dict[int, int]) -> Index:
     """frequency: documents of the whole benchmark that have a term."""
     words = _hashes(texts)
-    order = sorted(range(len(ids)), key=lambda i: (len(words[i]), ids[i]))
+    order = sorted(range(len(ids)), key=lambda i: (len(words[i]), ids[i] is None, ids[i] or 0))
     ids, texts, words = [ids[i] for i in order], [texts[i] for i in order], [words[i] for i in order]
     terms = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
     impacts = np.zeros((len(terms), len(ids)), np.float32)
@@ -82,7 +82,7 @@ def build_index(ids: list[int], texts: list[str], n: int, mean_length: float, fr
     parts = [question_and_answer(t) for t in texts]
     question, answer = _hashes([q for q, _ in parts]), _hashes([a for _, a in parts])
     return Index(
-        np.array(ids, np.int64), terms, impacts, block_max, max(map(len, words)),
+        ids, terms, impacts, block_max, max(map(len, words)),
         [_shingles(w) for w in question], [_shingles(w) for w in answer],
         [len(w) for w in question], [len(w) for w in answer],
     )
@@ -160,7 +160,7 @@ def _match(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 _verified(index, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]),
             ):
                 new = [
-                    {"item_id": int(index.items[i]), "score": s, "question": q, "answer": a}
+                    {"item_id": index.items[i], "score": s, "question": q, "answer": a}
                     for i, (s, q, a) in sorted(found.items())
                 ]
                 lists.append(old + new)
@@ -177,12 +177,13 @@ def _match(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def leaks(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The input's columns and ``leaks``: the benchmark items a document holds, with score and overlaps.
 
-    ``items`` has ``item_id, text``; items without id, text or words are left out, of repeated ids each text counts.
+    ``items`` has ``item_id, text``; items without text or words are left out, of repeated ids each text counts, and
+    a missing id is reported as missing.
     Passages are all stretches of two windows of the longest item's length, over the whole text. An input
     column named ``leaks`` gives way; a missing text holds nothing.
     """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.dropna().distinct()
+    items = items.where(F.col("text").isNotNull()).distinct()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

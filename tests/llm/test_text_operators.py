@@ -137,6 +137,16 @@ def test_leaks_of_short_questions_against_brute_force(spark):
     assert [sorted(y.item_id for y in x.leaks) for x in sorted(out.collect(), key=lambda x: x.doc_id)] == [sorted(w) for w in wanted]
 
 
+def test_leaks_of_items_without_id(spark):
+    items = [(None, "Which river runs here?\nThe long one"), (None, "Other text of nobody?\nNo"), (1, "Which river runs here?\nThe long one")]
+    docs = [(0, "so: which river runs here? the long one, yes"), (1, "nothing"), (2, "Other text of nobody? No")]
+    out = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    found = {x.doc_id: sorted((y.item_id for y in x.leaks), key=str) for x in out.collect()}
+    assert found == {0: [1, None], 1: [], 2: [None]}
+
+
 # --- classifiers ---------------------------------------------------------------------------------------
 
 
