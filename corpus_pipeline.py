@@ -22,11 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id; of rows that repeat that id, one."""
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of linked fingerprints one row: that of the smallest id, a missing one last, and of several
+    with that id the one whose text hashes lowest. Groups are told by their root, so ids may be missing or repeated."""
+    keyed = docs.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit("b"), "text")})
+    found = simhash.near_groups(keyed, keys=("_a", "_b"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), "_a", "_b"))
+    first = found.groupBy("root").agg(first.alias("first")).select("first._id", "first._a", "first._b")
+    kept = keyed.join(
+        first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_a"] == first["_a"]) & (keyed["_b"] == first["_b"]), "left_semi"
+    )
+    return kept.dropDuplicates(["doc_id", "_a", "_b"]).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

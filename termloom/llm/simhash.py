@@ -76,21 +76,30 @@ def _bits(size: int, seed: int, data: np.ndarray, bounds: np.ndarray) -> np.ndar
 
 def _fingerprints(size: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, bounds = bytes_of(batch.column(1))
+        data, bounds = bytes_of(batch.column(batch.num_columns - 1))
         parts = [
             _bits(size, seed, data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
             for low, high in chunks(bounds)
         ]
         out = np.concatenate([*parts, np.zeros(0, np.uint64)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], [*batch.schema.names[:-1], "bits"])
 
 
 def fingerprints(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, seed: int = SEED
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    seed: int = SEED,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, bits``: the SimHash of word shingles of the ASCII-lower-cased whole text as a signed long."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, shingle, seed), "doc_id long, bits long")
+    """``doc_id``, the long columns ``keys`` and ``bits``: the SimHash of word shingles of the ASCII-lower-cased
+    whole text as a signed long."""
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), *keys, F.col(text_column).cast("string").alias("text")
+    )
+    schema = ", ".join(f"`{c}` long" for c in ("doc_id", *keys, "bits"))
+    return rows.mapInArrow(partial(_fingerprints, shingle, seed), schema)
 
 
 def _postings(sets: list[tuple[int, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +169,25 @@ def near_duplicates(
     other. Rows without an id take part; a component of only such rows has no id. Copies share a
     fingerprint and are compared once.
     """
+    found = near_groups(docs, id_column, text_column, shingle, max_bits, seed)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def near_groups(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+    seed: int = SEED,
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """As ``near_duplicates``, with the long columns ``keys`` and with ``root``, a fingerprint that names the
+    component also where no row of it has an id."""
     if not 0 <= max_bits <= 7:
         raise ValueError("at most seven differing bits leave one positional byte to match")
     space = Workspace(docs.sparkSession, "simhash")
-    prints = space.save(fingerprints(docs, id_column, text_column, shingle, seed), "prints")
+    prints = space.save(fingerprints(docs, id_column, text_column, shingle, seed, keys), "prints")
     distinct = space.save(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
     matches = 8 - max_bits
     links = (
@@ -179,7 +203,7 @@ def near_duplicates(
     )
     rooted = space.save(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(smallest, "root").select("bits", "component_id")
+    of_print = rooted.join(smallest, "root").select("bits", "component_id", "root")
     return prints.join(of_print, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", *keys, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )

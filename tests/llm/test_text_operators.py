@@ -268,3 +268,16 @@ def test_pipeline_keeps_what_is_clean(spark, tmp_path):
     left = {x.doc_id: x for x in docs.collect()}
     assert passage in left[303].text and passage not in left[304].text and left[304].n_chars == len(left[304].text)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(17)
+    t = [prose(120, r) for _ in range(9)]
+    rows = [(None, t[0], "a"), (None, t[1], "a"), (None, t[2], "a"), (None, t[2].upper(), "b")]  # unlinked texts without id, and a copy
+    rows += [(5, t[3], "a"), (5, t[4], "a"), (6, t[3], "a"), (6, t[5], "a"), (5, t[4], "a")]  # ids with several texts
+    rows += [(None, t[6], "a"), (8, t[6], "a"), (9, None, "a"), (None, "", "a")]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    found = sorted((str(x.doc_id), (x.text or "").lower()) for x in out.collect())
+    assert found == sorted([*(("None", x) for x in t[:3]), ("5", t[3]), ("5", t[4]), ("6", t[5]), ("8", t[6]), ("9", "")])
