@@ -2,13 +2,13 @@
 
 A document's score is a linear function of binned text statistics. Preference pairs, a good document over a
 bad one, are fitted by the logistic loss on the difference of their features. The decision is a
-quantile of the scores: the share of bad documents among those learned from lies below it.
+quantile of the scores of all labelled documents that may be learned from: their share of bad ones lies below it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -170,11 +170,34 @@ def fit(x: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: float = 0.1,
         gradient = decay * flat / len(flat) + sum(np.bincount(bins[:, j], by_doc, k * BINS) for j in range(k))
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         flat -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-    weights = flat.reshape(k, BINS)
-    model = Model(edges, weights, 0.0)
-    raw = np.sort(model.raw(x))
-    at = len(bad)  # as many below the cut as there are bad ones
-    return Model(edges, weights, float((raw[at - 1] + raw[min(at, len(raw) - 1)]) / 2))
+    return Model(edges, flat.reshape(k, BINS), 0.0)
+
+
+def _ordered(raw: np.ndarray) -> np.ndarray:
+    """Longs in the order of the doubles."""
+    bits = (raw + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def _double(key: int) -> float:
+    bits = np.int64(key)
+    return float((bits ^ np.int64(0x7FFFFFFFFFFFFFFF) if bits < 0 else bits).view(np.float64))
+
+
+def _cut(keys: DataFrame, at: int) -> float:
+    """The middle between the ``at``-th smallest of ``key`` and the next, by counts of 16 bits at a time."""
+    prefix, left, own = 0, at, keys
+    for shift in (48, 32, 16, 0):
+        counts = own.groupBy(F.shiftright("key", shift).alias("digits")).agg(F.count("*").alias("n"))
+        for digits, n in sorted(map(tuple, counts.collect())):
+            prefix = digits
+            if left <= n:
+                break
+            left -= n
+        own = keys.where(F.shiftright("key", shift) == prefix)
+    upto = F.col("key") <= prefix
+    n, after = keys.agg(F.count(F.when(upto, 1)), F.min(F.when(~upto, F.col("key")))).first()
+    return (_double(prefix) + _double(prefix if n > at or after is None else after)) / 2
 
 
 def quality(
@@ -188,16 +211,29 @@ def quality(
     """``doc_id, score`` for each row of ``docs``: 0 to 1, at least 0.3 for what ranks above the quantile.
 
     ``labels`` has ``doc_id, quality``; ``learn_from`` says, by document id, which may be learned from. At most
-    ``fit_rows`` rows of each label are fitted on; every whole text is described and scored. A missing text is empty.
+    ``fit_rows`` rows of each label are fitted on, and the quantile is that of all rows that may be learned from; every
+    whole text is described and scored. A missing text is empty.
     """
     space = Workspace(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     described = space.save(rows.mapInArrow(_describe, "doc_id long, features array<double>"), "features")
     known = one_label(labels.where(learn_from), "quality")
-    chosen = sampled(described.join(known, "doc_id"), fit_rows).orderBy(F.xxhash64("doc_id"), "doc_id", "features").toPandas()
+    learned = described.join(known, "doc_id")
+    chosen = sampled(learned, fit_rows).orderBy(F.xxhash64("doc_id"), "doc_id", "features").toPandas()
     x = np.array(chosen["features"].tolist(), np.float64).reshape(len(chosen), len(STATISTICS))
     model = fit(x, chosen["label"].to_numpy(np.int64))
 
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([pa.array(_ordered(model.raw(x))), batch.column(1)], ["key", "label"])
+
+    if {0, 1} <= set(chosen["label"]):
+        keys = space.save(learned.select("features", "label").mapInArrow(order, "key long, label int"), "order")
+        # as many below the cut as there are bad ones
+        model = replace(model, cut=_cut(keys, keys.where("label = 0").count()))
+        space.drop("order")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))

@@ -181,6 +181,26 @@ def test_quality_of_held_out_documents(spark):
     assert quality.quality(docs.limit(0), labels, quality.learnable()).count() == 0
 
 
+def test_quality_cut_is_the_quantile_of_all_labelled_rows(spark):
+    r = random.Random(16)
+    rows = [(i, prose(r.randrange(20, 90), r) + r.choice([".", "!", " #", "\n"]) * r.randrange(1, 9), int(i % 10 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    out = quality.quality(docs, labels, quality.learnable(), fit_rows=40).where(quality.learnable())
+    below = out.where(F.col("score") < quality.CUT).count()
+    bad = labels.where(quality.learnable()).where("quality = 0").count()
+    assert abs(below - bad) <= 2
+
+
+def test_quality_cut_of_ordered_keys(spark):
+    r = np.random.default_rng(3)
+    values = np.append(np.round(r.normal(size=500), 1), [0.0, -0.0, 1e300, -1e300, -1e-300])
+    keys = spark.createDataFrame([(int(k),) for k in quality._ordered(values)], "key long")
+    s = np.sort(values)
+    for at in (1, 40, 250, len(s) - 1, len(s)):
+        assert quality._cut(keys, at) == (s[at - 1] + s[min(at, len(s) - 1)]) / 2
+
+
 # --- mixing --------------------------------------------------------------------------------------------
 
 
