@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from termloom.llm.bytesview import Rolling, bytes_of, chunks
 from termloom.llm.labelled import best_cut, fold, logit, one_label, sampled, sigmoid
+from termloom.llm.tables import Workspace
 
-#: Labelled rows per label that the model is fitted on at most, and the characters of each that it reads.
-FIT_ROWS, FIT_CHARS = 2000, 10_000
+#: Labelled rows per label that the model is fitted on at most.
+FIT_ROWS = 3000
 #: Lengths of word beginnings in bytes, which are features beside the words.
 BEGINNINGS = (4, 5, 6)
 CUT, OFFENDING = 0.7, 0.5
+#: The logit of a sentence with nothing known in it, so that very many of them stay harmless.
+BIAS = -9.0
 #: Deviations by which a feature's toxic documents have to exceed the expected number, and their least share.
 CLEARLY, MOSTLY = 5.0, 0.8
 
@@ -76,6 +79,16 @@ def bags_of(data: np.ndarray, bounds: np.ndarray) -> Bags:
     )
 
 
+@dataclass(frozen=True)
+class Known:
+    """What the fit needs of the sampled documents: the places of known features and their sentences."""
+
+    places: np.ndarray
+    sentence_of_place: np.ndarray
+    doc_of_sentence: np.ndarray
+    docs: int
+
+
 def _places(known: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Place of each feature among the sorted known ones, and one behind the last for all others."""
     if not len(known):
@@ -84,12 +97,7 @@ def _places(known: np.ndarray, features: np.ndarray) -> np.ndarray:
     return np.where(known[at] == features, at, len(known)).astype(np.int32)
 
 
-def _sentence_logits(bags: Bags, places: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    words = weights[places].sum(axis=0)
-    return bias + np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
-
-
-def _none_toxic(bags: Bags, logits: np.ndarray) -> np.ndarray:
+def _none_toxic(bags: Bags | Known, logits: np.ndarray) -> np.ndarray:
     """Per document the logarithm of the chance that no sentence is toxic."""
     return np.bincount(bags.doc_of_sentence, -np.logaddexp(0, logits), bags.docs)
 
@@ -108,61 +116,140 @@ class Model:
     shift: float
 
     def logits(self, bags: Bags) -> np.ndarray:
-        return _sentence_logits(bags, _places(self.known, bags.features), self.weights, self.bias)
+        words = self.weights[_places(self.known, bags.features)].sum(axis=0)
+        return self.bias + np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
 
     def scores(self, none: np.ndarray) -> np.ndarray:
         return np.where(none == 0, 0.0, sigmoid(_log_odds(none) - self.shift + logit(CUT)))
 
 
-def _clear_features(bags: Bags, labels: np.ndarray) -> np.ndarray:
-    """Features whose documents are mostly toxic, and clearly more often than documents are.
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Bags]]:
+    """Bags of the batch's texts, its last column, in chunks of rows."""
+    data, bounds = bytes_of(batch.column(batch.num_columns - 1))
+    for low, high in chunks(bounds):
+        yield low, high, bags_of(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
 
-    A document of which most sentences stand in earlier ones is not counted, so copies are no evidence.
-    """
-    words = (bags.features[0] >> np.uint64(24)).astype(np.float64)
-    prints = np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
-    fresh = np.zeros(len(prints))
-    fresh[np.unique(prints, return_index=True)[1]] = 1
-    sentences = np.bincount(bags.doc_of_sentence, minlength=bags.docs)
-    own = 2 * np.bincount(bags.doc_of_sentence, fresh, bags.docs) > sentences
-    counted = own[bags.doc_of_sentence[bags.sentence_of_word]]
-    doc = bags.doc_of_sentence[bags.sentence_of_word[counted]]
-    base, clear = labels.mean(), []
-    for column in bags.features:
-        values, number = np.unique(column[counted], return_inverse=True)
-        pairs = np.unique(number * bags.docs + doc)
-        shared = np.bincount(pairs // bags.docs, minlength=len(values))
-        toxic = np.bincount(pairs // bags.docs, labels[pairs % bags.docs], len(values))
-        clearly = toxic - shared * base >= CLEARLY * np.sqrt(shared * base * (1 - base) + 0.25)
-        clear.append(values[clearly & (toxic >= MOSTLY * shared)])
-    return np.unique(np.concatenate(clear))
-
-
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Gradient steps on the noisy-or likelihood, both labels weighing the same; nothing to learn
-    without both labels: then every document scores low."""
-    bags = bags_of(*bytes_of(pa.array(texts, pa.string())))
-    bias = -9.0  # a sentence with nothing known in it, so that very many of them stay harmless
+
+def _lists(doc: np.ndarray, values: np.ndarray, docs: int) -> pa.Array:
+    """Values, in order of their documents, as one list per document."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)), pa.array(values))
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row a print of each sentence."""
+    for batch in batches:
+        for low, high, bags in _parts(batch):
+            words = (bags.features[0] >> np.uint64(24)).astype(np.float64)
+            prints = np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
+            lists = _lists(bags.doc_of_sentence, prints, bags.docs)
+            yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[:-1]), lists], [*batch.schema.names[:-1], "prints"])
+
+
+def _own(prints: list[np.ndarray]) -> np.ndarray:
+    """Documents of which most sentences do not stand in earlier ones, so copies are no evidence."""
+    sizes = np.array([len(p) for p in prints], np.int64)
+    fresh = np.zeros(sizes.sum())
+    fresh[np.unique(np.concatenate([*prints, np.zeros(0)]), return_index=True)[1]] = 1
+    return 2 * np.bincount(np.repeat(np.arange(len(sizes)), sizes), fresh, len(sizes)) > sizes
+
+
+def _counted(own: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features with their documents and their toxic ones, of the rows that are ``own``."""
+    for batch in batches:
+        labels = batch.column("label").to_numpy().astype(np.float64)
+        counted = np.isin(batch.column("row").to_numpy(), own)
+        for low, high, bags in _parts(batch):
+            doc = bags.doc_of_sentence[bags.sentence_of_word]
+            some = counted[low:high][doc]
+            doc = doc[some]
+            for column in bags.features:
+                values, number = np.unique(column[some], return_inverse=True)
+                pairs = np.unique(number * bags.docs + doc)
+                shared = np.bincount(pairs // bags.docs, minlength=len(values))
+                toxic = np.bincount(pairs // bags.docs, labels[low:high][pairs % bags.docs], len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.view(np.int64)), pa.array(shared), pa.array(toxic.astype(np.int64))],
+                    ["feature", "shared", "toxic"],
+                )
+
+
+def _found(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row the number of its sentences, and where which known features stand."""
+    for batch in batches:
+        for low, high, bags in _parts(batch):
+            places = _places(known, bags.features)
+            hit = places < len(known)
+            sentence = np.broadcast_to(bags.sentence_of_word, places.shape)[hit]
+            order = np.argsort(sentence, kind="stable")
+            sentence, place = sentence[order], places[hit][order]
+            doc = bags.doc_of_sentence[sentence]
+            first = np.searchsorted(bags.doc_of_sentence, np.arange(bags.docs + 1))
+            within = (sentence - first[doc]).astype(np.int64)
+            columns = [pa.array(np.diff(first)), _lists(doc, within, bags.docs), _lists(doc, place, bags.docs)]
+            yield pa.RecordBatch.from_arrays(
+                [*(c.slice(low, high - low) for c in batch.columns[:-1]), *columns],
+                [*batch.schema.names[:-1], "sentences", "within", "places"],
+            )
+
+
+def _in_order(rows: DataFrame, *lists: str) -> tuple[dict[str, np.ndarray], dict[str, list[np.ndarray]]]:
+    table = rows.toArrow().sort_by([("order", "ascending"), ("row", "ascending")])
+    flat = {c: table.column(c).to_numpy() for c in table.column_names if c not in lists}
+    return flat, {c: [np.asarray(x.values) for x in table.column(c)] for c in lists}
+
+
+def learn(sample: DataFrame) -> Model:
+    """Of ``order, row, label, text``, whole texts: tasks turn them to prints, counts and places of the features
+    that count, which alone reach the driver. Features count whose documents are mostly toxic, and clearly more
+    often than documents are."""
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(1), BIAS, logit(CUT))
+    keys = "order long, row long, label int"
+    flat, lists = _in_order(sample.mapInArrow(_prints, f"{keys}, prints array<double>"), "prints")
+    labels = flat["label"].astype(np.int64)
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(1), bias, logit(CUT))
-    known = _clear_features(bags, labels)
-    places = _places(known, bags.features)
+        return nothing
+    own = np.sort(flat["row"][_own(lists["prints"])])
+    base = float(labels.mean())
+    counts = sample.mapInArrow(partial(_counted, own), "feature long, shared long, toxic long")
+    counts = counts.groupBy("feature").agg(F.sum("shared").alias("shared"), F.sum("toxic").alias("toxic"))
+    above = F.col("toxic") - F.col("shared") * base >= CLEARLY * F.sqrt(F.col("shared") * (base * (1 - base)) + 0.25)
+    clear = counts.where(above & (F.col("toxic") >= MOSTLY * F.col("shared"))).select("feature").toArrow()
+    known = np.sort(clear.column("feature").to_numpy().astype(np.int64).view(np.uint64))
+    schema = f"{keys}, sentences long, within array<bigint>, places array<int>"
+    flat, lists = _in_order(sample.mapInArrow(partial(_found, known), schema), "within", "places")
+    sentences, hits = flat["sentences"], np.array([len(x) for x in lists["places"]])
+    first = np.append(0, np.cumsum(sentences))[:-1]
+    bags = Known(
+        np.concatenate([*lists["places"], np.zeros(0, np.int32)]).astype(np.int64),
+        np.concatenate([*lists["within"], np.zeros(0, np.int64)]).astype(np.int64) + np.repeat(first, hits),
+        np.repeat(np.arange(len(sentences)), sentences),
+        len(sentences),
+    )
+    return fit(known, bags, flat["label"].astype(np.int64))
+
+
+def fit(
+    known: np.ndarray, bags: Known, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4
+) -> Model:
+    """Gradient steps on the noisy-or likelihood, both labels weighing the same."""
     weights = np.zeros(len(known) + 1)
+
+    def sentence_logits() -> np.ndarray:
+        return BIAS + np.bincount(bags.sentence_of_place, weights[bags.places], len(bags.doc_of_sentence))
+
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
     step = np.zeros(len(weights))
     for _ in range(rounds):
-        logits = _sentence_logits(bags, places, weights, bias)
+        logits = sentence_logits()
         none = _none_toxic(bags, logits)
         some = np.maximum(-np.expm1(none), 1e-12)
         pull = np.where(labels == 1, -np.exp(none) / some, 1.0) * share
         by_sentence = pull[bags.doc_of_sentence] * sigmoid(logits)
-        by_word = by_sentence[bags.sentence_of_word]
-        gradient = sum(np.bincount(column, by_word, len(weights)) for column in places) + decay * weights
-        gradient[-1] = 0
+        gradient = np.bincount(bags.places, by_sentence[bags.sentence_of_place], len(weights)) + decay * weights
         step = 0.8 * step + gradient * (rate / max(np.abs(gradient).max(), 1e-9))
         weights = weights - step
-    none = _none_toxic(bags, _sentence_logits(bags, places, weights, bias))
-    return Model(known, weights, bias, max(0.0, best_cut(_log_odds(none), labels)))
+    none = _none_toxic(bags, sentence_logits())
+    return Model(known, weights, BIAS, max(0.0, best_cut(_log_odds(none), labels)))
 
 
 def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,18 +282,22 @@ def toxicity(
     """The input's columns, with ``score`` (0 to 1) and ``offending`` (sentences that score at least 0.5).
 
     ``labels`` has ``doc_id, toxic``; ``learn_from`` says, by document id, which rows may be learned from. The
-    model is fitted on at most ``fit_rows`` rows of each label and 10,000 characters of each; every whole text
-    is scored, in chunks of rows. A text without words scores 0. Missing texts are empty; input columns named
+    model is fitted on the whole texts of at most ``fit_rows`` rows of each label, and on nothing without both
+    labels: then every document scores low. Every whole text is scored, in chunks of rows. A text without words scores 0. Missing texts are empty; input columns named
     like the two new ones give way.
     """
     docs = docs.drop(*[c for c in ("score", "offending") if c in docs.columns])
     known = one_label(labels.where(learn_from), "toxic")
     texts = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.substring(text_column, 1, FIT_CHARS).alias("text")
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
     chosen = sampled(texts.select("doc_id").join(known, "doc_id"), fit_rows).distinct()
-    rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", "text")).toPandas()
-    model = fit(rows["text"].fillna("").tolist(), rows["label"].to_numpy(np.int64))
+    space = Workspace(docs.sparkSession, "toxicity")
+    sample = texts.join(chosen, "doc_id").select(
+        F.xxhash64("doc_id", "text").alias("order"), F.monotonically_increasing_id().alias("row"), "label", "text"
+    )
+    model = learn(space.save(sample, "sample"))
+    space.drop("sample")
     given = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text_column).cast("string").alias("__text_to_score"))
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
     return given.mapInArrow(partial(_score, model), f"{schema}, score double, offending array<string>")

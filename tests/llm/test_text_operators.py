@@ -169,6 +169,20 @@ def test_toxicity_of_held_out_documents(spark):
     assert none.where("score >= 0.7").count() == 0 and toxicity.toxicity(docs.limit(0), labels, toxicity.learnable()).count() == 0
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    r = random.Random(15)
+    rows = []
+    for i in range(240):
+        text = ". ".join(prose(9, r) for _ in range(250))
+        assert len(text) > 10_000
+        rows.append((i, text + (". You " + r.choice(["grumbler", "Vextron"]) + " there." if i % 4 == 0 else "."), int(i % 4 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {x.doc_id: x for x in toxicity.toxicity(docs, labels, toxicity.learnable()).collect()}
+    assert all((found[i].score >= toxicity.CUT) == bool(y) for i, _, y in rows)
+    assert all(any("You" in s for s in found[i].offending) for i, _, y in rows if y)
+
+
 def test_quality_of_held_out_documents(spark):
     r = random.Random(6)
     rows = [(i, prose(80, r) + "." if i % 4 else prose(30, r).upper() + "!! " + "spam " * r.randrange(20, 60), int(i % 4 > 0)) for i in range(400)]
