@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, maincontent, mixing, preference, quality, simhash, suffixdedup, superkmer, topk, toxicity
+from termloom.llm import decontaminate, maincontent, mixing, preference, quality, simhash, suffixdedup, superkmer, topk, toxicity, whitening
 from termloom.llm.tables import table
 
 
@@ -76,6 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # a deviation beyond a long has no place in that column
+    return rows.withColumns({"deviation_exact": F.col("deviation"), "deviation": F.col("deviation").try_cast("long")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_mixing": op2_mixing,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
