@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, maincontent, mixing, preference, quality, simhash, suffixdedup, superkmer, topk, toxicity, whitening
+from termloom.llm import decontaminate, maincontent, mixing, preference, quality, quantised, simhash, suffixdedup, superkmer, topk, toxicity, whitening
 from termloom.llm.tables import table
 
 
@@ -76,6 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     # a deviation beyond a long has no place in that column
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op12_near_embeddings": op12_near_embeddings,
     "op13_whitening": op13_whitening,
 }
 
@@ -178,4 +183,23 @@ ORACLES: dict[str, str] = {
             c.mask as chosen_mask, r.mask as rejected_mask
         from texts c join texts r using (conv_id) join common using (conv_id) where c.side = 'c' and r.side = 'r'
     """,
+    "op12_near_embeddings": """
+        with recursive usable as (
+            select vec_id, embedding::double[] as v from embeddings
+            where len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from usable a join usable b on a.vec_id <> b.vec_id
+            where list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reached as (
+            select vec_id as a, vec_id as b from embeddings
+            union
+            select r.a, l.b from reached r join links l on l.a = r.b
+        ), least as (
+            select a, min(b) as component_id from reached group by a
+        )
+        select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, l.component_id,
+            e.vec_id = l.component_id as kept
+        from embeddings e join least l on l.a = e.vec_id
+    """,
 }
