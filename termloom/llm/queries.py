@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, maincontent, mixing, preference, quality, quantised, simhash, suffixdedup, superkmer, topk, toxicity, whitening
+from termloom.llm import alignment, decontaminate, maincontent, mixing, preference, quality, quantised, simhash, suffixdedup, superkmer, topk, toxicity, whitening
 from termloom.llm.tables import table
 
 
@@ -76,6 +76,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), groups_as_text=False)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
     "op12_near_embeddings": op12_near_embeddings,
     "op13_whitening": op13_whitening,
 }
