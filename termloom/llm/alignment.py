@@ -28,7 +28,7 @@ from termloom.llm.tables import Workspace
 TOKENIZERS = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and of those that are encoded at once.
-BLOCK_BYTES, ENCODE_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, ENCODE_BYTES = 4 << 20, 1 << 19
 RADIXES, FAN, CHUNK = 32, 64, 1 << 14
 SPILLED = (
     "block long, radix int, heads array<binary>, records binary, "
@@ -50,6 +50,28 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Spelling:
+    """Byte strings by number in one array, so that many of them are strung together at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the numbers' strings and the end of each."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.data[at], ends
+
+
+def bounds_of(ends: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Where each text's share of strung-together strings begins, and the last one's end."""
+    return np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+
+
 class Encoders:
     """Both tokenizers and the bytes of their entries."""
 
@@ -58,28 +80,36 @@ class Encoders:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(first.decode())
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=second)
+        self.first = Tokenizer.from_str(first.decode())
+        self.first.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         letters = _byte_letters()
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
-        self.b_bytes = []
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        a_bytes = [b""] * self.first.get_vocab_size(with_added_tokens=True)
+        for entry, i in self.first.get_vocab(with_added_tokens=True).items():
+            a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        b_bytes = []
+        for i in range(self.second.get_piece_size()):
+            piece = self.second.id_to_piece(i)
+            b_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode())
+        self.a, self.b = Spelling(a_bytes), Spelling(b_bytes)
+        # each id with each of the marks that may follow it, at 3 * id + mark
+        self.marked = Spelling([b"%d%c" % (i, mark) for i in range(max(len(a_bytes), len(b_bytes))) for mark in b",|;"])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; none where a side's bytes are not those of a space and the text."""
-        firsts = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        seconds = self.b.encode(texts, num_threads=1)
-        out = []
-        for text, first, second in zip(texts, firsts, seconds):
-            ids, whole = first.ids, (" " + text).encode()
-            same = text and b"".join([self.a_bytes[i] for i in ids]) == whole == b"".join([self.b_bytes[i] for i in second])
-            out.append((np.array(ids, np.int32), np.array(second, np.int32)) if same else (np.zeros(0, np.int32),) * 2)
+        firsts = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        sides = [[np.array(x.ids, np.int32) for x in firsts]]
+        del firsts
+        sides.append([np.array(x, np.int32) for x in self.second.encode(texts, num_threads=1)])
+        spelled = []
+        for ids, spelling in zip(sides, (self.a, self.b)):
+            data, ends = spelling.of(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            spelled.append((data, bounds_of(ends, np.array([len(x) for x in ids], np.int64))))
+        none, out = (np.zeros(0, np.int32),) * 2, []
+        for i, text in enumerate(texts):
+            whole = (" " + text).encode()
+            same = text and all(data[at[i] : at[i + 1]].tobytes() == whole for data, at in spelled)
+            out.append((sides[0][i], sides[1][i]) if same else none)
         return out
 
 
@@ -88,12 +118,6 @@ def _encoders(first: bytes, second: bytes) -> Encoders:
     return Encoders(first, second)
 
 
-@functools.lru_cache(maxsize=2)
-def _decimals(n: int) -> list[bytes]:
-    """Each number with each of the marks that may follow it, at 3 * number + mark."""
-    return [b"%d%c" % (i, mark) for i in range(n) for mark in b",|;"]
-
-
 # --- runs --------------------------------------------------------------------------
 
 
@@ -207,7 +231,7 @@ def _block(encoders: Encoders, ids: list[int | None], texts: list[str], radixes:
     n_a, n_b = (np.array([len(pair[side]) for pair in encoded], np.int64) for side in (0, 1))
     a, b = (np.concatenate([pair[side] for pair in encoded]).astype(np.int64) for side in (0, 1))
     # both sides of a document have the same bytes, so ends may be counted through the whole block
-    a_ends, b_ends = np.cumsum(encoders.a_sizes[a]), np.cumsum(encoders.b_sizes[b])
+    a_ends, b_ends = np.cumsum(encoders.a.sizes[a]), np.cumsum(encoders.b.sizes[b])
     total = int(a_ends[-1]) if len(a) else 0
     of_a, of_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
     of_a[a_ends], of_b[b_ends] = True, True
@@ -217,16 +241,16 @@ def _block(encoders: Encoders, ids: list[int | None], texts: list[str], radixes:
     keys = (b[b_last] << 32) | a[a_last]
     # groups as text: a group's first ids, then its second ones; a mark follows each id
     a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    a_before = np.cumsum(np.bincount(a_group, minlength=len(keys)))  # first ids up to the end of a group
+    b_before = np.append(0, np.cumsum(np.bincount(b_group, minlength=len(keys))))  # second ids before a group
     code = np.empty(len(a) + len(b), np.int64)
-    b_before = np.searchsorted(b_group, a_group)  # second ids in earlier groups
-    a_before = np.searchsorted(a_group, b_group, "right")
-    code[np.arange(len(a)) + b_before] = 3 * a + a_last
-    code[np.arange(len(b)) + a_before] = 3 * b + 2 * b_last
-    marks = _decimals(max(len(encoders.a_sizes), len(encoders.b_sizes)))
-    ends = np.cumsum(n_a + n_b)
+    code[np.arange(len(a)) + b_before[a_group]] = 3 * a + a_last
+    code[np.arange(len(b)) + a_before[b_group]] = 3 * b + 2 * b_last
+    data, ends = encoders.marked.of(code)
+    at_ = bounds_of(ends, n_a + n_b)
     groups = []
-    for start, end in zip((ends - n_a - n_b).tolist(), ends.tolist()):
-        own = b"".join([marks[i] for i in code[start:end].tolist()])[:-1]
+    for start, end in zip(at_[:-1], at_[1:]):
+        own = data[start : max(start, end - 1)].tobytes()  # without the last mark
         groups.append("" if start == end else own.decode() if text else hashlib.sha256(own).hexdigest())
     # records: pair, document, how often; pairs side-major
     order = keys.argsort(kind="stable")  # documents stay in order inside a pair
