@@ -30,7 +30,7 @@ from termloom.sinks.tables import append_keywords, append_scores
 from termloom.sources.sheets import read_sheet
 from termloom.sources.suggestions import decode_suggestions
 from termloom.sources.tables import first_keywords, read_keywords, read_scores
-from termloom.streaming.append import append_stream
+from termloom.streaming.append import append_recent, append_spellings, append_stream, end_round, stream_payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -585,19 +585,19 @@ SUGGESTED = """sent as (
 items as (select *, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as pos from sent),
 sugg as (select regexp_replace(part, '^\\s+|\\s+$', '', 'g') as keyword, 'google_autocomplete' as source,
   'fr' as lang, cast(conv_id as varchar) as root_seed, role as seed,
-  cast((conv_id * 1000 + turn) * 1048576 + pos as bigint) as ord from items)"""
+  conv_id * 1000 + turn as request, cast(pos as int) as place from items)"""
 
 
 @query("suggestion_ingest", f"with {SUGGESTED} select * from sugg where keyword <> ''")
 def _(spark, sf_dir):
-    return decode_suggestions(_payloads(spark, sf_dir))
+    return decode_suggestions(_payloads(spark, sf_dir)).drop("ord")
 
 
 @query("expand_payloads", f"""with {SUGGESTED}
 select * from sugg where keyword <> ''
-qualify row_number() over (partition by lang, root_seed, lower(keyword) order by ord) = 1""")
+qualify row_number() over (partition by lang, root_seed, lower(keyword) order by request, place) = 1""")
 def _(spark, sf_dir):
-    return keyed.first_spelling(decode_suggestions(_payloads(spark, sf_dir)), ["lang", "root_seed"])
+    return keyed.first_spelling(decode_suggestions(_payloads(spark, sf_dir)), ["lang", "root_seed"]).drop("ord")
 
 
 @query("dedupe_first", f"""{DOCS} select id, keyword, lang from docs
@@ -636,6 +636,17 @@ def _(spark, sf_dir):
     return read_keywords(spark, table).select("keyword", "lang", "seed")
 
 
+@query("append_bucketed", f"""
+select row_number() over (order by is_new, doc_id) - 1 as id, keyword, lang, seed from (
+  select doc_id, text as keyword, lang, source as seed, not ({_OLD}) as is_new from documents
+  qualify row_number() over (partition by text, lang order by not ({_OLD}), doc_id) = 1)""")
+def _(spark, sf_dir):
+    table = shared_folder(spark, "bucketed")
+    for rows in _halves(spark, sf_dir):
+        append_keywords(rows.withColumn("source", F.lit(fixed.SUGGESTION_SOURCE)), table)
+    return read_keywords(spark, table).select("id", "keyword", "lang", "seed")
+
+
 @query("ingest_counters", f"""
 with sugg as (select *, text as keyword from documents where not ({_OLD})
   qualify row_number() over (partition by lang, source, lower(text) order by doc_id) = 1),
@@ -647,9 +658,9 @@ select lang, seed, count(*) as suggestions, count(*) filter (is_new) as inserted
   from sugg left join new on sugg.doc_id = new.doc_id) group by 1, 2""")
 def _(spark, sf_dir):
     stored, incoming = _halves(spark, sf_dir)
-    expanded = stored_once(keyed.first_spelling(incoming, ["lang", "seed"]), "expanded")
-    new = keyed.only_new(expanded, stored, ["keyword", "lang"])
-    return summaries.ingest_counters(expanded, new, ["lang", "seed"])
+    expanded = keyed.first_spelling(incoming, ["lang", "seed"])
+    marked = keyed.marked_new(expanded, stored, ["keyword", "lang"])
+    return summaries.ingest_counters(marked, ["lang", "seed"])
 
 
 @query("stream_append_new", "select distinct text as keyword, lang, source, source as seed from documents")
@@ -666,6 +677,36 @@ def _(spark, sf_dir):
     return read_keywords(spark, table).select("keyword", "lang", "source", "seed")
 
 
+@query("stream_first_spelling", f"""with {SUGGESTED}, spelled as (
+  select * from sugg where keyword <> ''
+  qualify row_number() over (partition by lang, root_seed, lower(keyword) order by request, place) = 1)
+select keyword, lang, source, seed from spelled
+qualify row_number() over (partition by keyword, lang, source order by request, place) = 1""")
+def _(spark, sf_dir):
+    landed, table = shared_folder(spark, "landed"), shared_folder(spark, "stream-table")
+    checkpoint = shared_folder(spark, "stream-state")
+    payloads = _payloads(spark, sf_dir)
+    later = F.col("ord") % 1000 >= 2  # the later turns of each conversation land first
+    payloads.where(later).write.json(landed)
+    append_spellings(stream_payloads(spark, landed), table, checkpoint).awaitTermination()
+    payloads.where(~later).write.mode("append").json(landed)
+    end_round(spark, landed)
+    append_spellings(stream_payloads(spark, landed), table, checkpoint).awaitTermination()
+    return read_keywords(spark, table).select("keyword", "lang", "source", "seed")
+
+
+@query("stream_dedupe_watermark", "select distinct text as keyword, lang, source from documents")
+def _(spark, sf_dir):
+    static = _read(spark, sf_dir, "documents")
+    landed = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/documents.parque[t]").select(
+        F.col("doc_id").alias("ord"), F.col("text").alias("keyword"), "lang", "source",
+        F.col("source").alias("seed"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600).alias("landed_at"),
+    )
+    table = shared_folder(spark, "recent-table")
+    append_recent(landed, table).awaitTermination()
+    return read_keywords(spark, table).select("keyword", "lang", "source")
+
+
 # --- diagnostics -----------------------------------------------------------------------------------
 
 

@@ -1,21 +1,33 @@
 """First and last row per key, and rows whose key is not stored yet.
 
-A key may be held by a third of all rows. Picking a row is therefore an aggregate
-(``min_by`` / ``max_by``), not a window: Spark reduces the copies of a key inside every
-task before the shuffle, so no task ever receives them all.
+A key may be held by a third of all rows. The smallest ``order`` of a key is a plain minimum, kept in a fixed-width buffer
+and reduced inside every task before the shuffle; its row is then found by key and ``order`` together, which spreads the
+rows of a hot key over all tasks. So there is no sort by key, no window, and no task that receives a key's rows.
+
+``order`` has to be unique inside a key; rows that share the smallest one all come out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import stored as stored_once
+
+
+def _matching(rows: DataFrame, picked: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows that agree with a picked one in all of the columns; a missing value agrees with a missing one."""
+    renamed = picked.select(*[F.col(name).alias(f"_of_{name}") for name in columns])
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in columns]
+    return rows.join(renamed, functools.reduce(Column.__and__, same), how)
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The whole row with the smallest ``order`` per key; the output stays partitioned by key."""
-    rest = [name for name in rows.columns if name not in keys]
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*rows.columns)
+    """The whole row with the smallest ``order`` per key."""
+    least = rows.groupBy(*keys).agg(F.min(order).alias(order))
+    return _matching(rows, least, [*keys, order])
 
 
 def first_spelling(suggestions: DataFrame, scope: list[str], order: str = "ord") -> DataFrame:
@@ -26,11 +38,23 @@ def first_spelling(suggestions: DataFrame, scope: list[str], order: str = "ord")
 
 def last_value(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
     """Last non-empty ``value`` per key."""
-    return (
-        rows.where(F.col(value) != "")
-        .groupBy(key)
-        .agg(F.max_by(value, order).alias(value))
-    )
+    given = rows.select(key, value, order).where(F.col(value) != "")
+    latest = given.groupBy(key).agg(F.max(order).alias(order))
+    return _matching(given, latest, [key, order]).select(key, value)
+
+
+def new_keys(
+    incoming: DataFrame, stored: DataFrame, keys: list[str], order: str = "ord"
+) -> DataFrame:
+    """Key and smallest ``order`` of every incoming key that is not stored.
+
+    Only keys travel here. The stored ones are reduced to the incoming ones by a semi join first: when these are few
+    (Spark checks their size before it broadcasts) the stored table is only scanned; when they are many, a stored table
+    that is bucketed by the leading key needs no shuffle either.
+    """
+    least = incoming.groupBy(*keys).agg(F.min(order).alias(order))
+    known = stored.select(*keys).join(least.select(*keys), keys, "left_semi")
+    return least.join(known, keys, "left_anti")
 
 
 def only_new(
@@ -38,10 +62,19 @@ def only_new(
 ) -> DataFrame:
     """First incoming row of every key that is not stored.
 
-    The stored keys are reduced to the incoming ones by a semi join first. When the incoming
-    keys are few (Spark checks their size before it broadcasts), the stored table is only
-    scanned and never shuffled; when they are many, both joins reuse one partitioning.
+    The incoming rows are computed once, into a table in the shared folder, because their keys are read before they are.
     """
-    first = first_per_key(incoming, keys, order)
-    known = stored.select(*keys).join(first.select(*keys), keys, "left_semi")
-    return first.join(known, keys, "left_anti").select(*incoming.columns)
+    landed = stored_once(incoming, "incoming")
+    return _matching(landed, new_keys(landed, stored, keys, order), [*keys, order])
+
+
+def marked_new(
+    incoming: DataFrame, stored: DataFrame, keys: list[str], order: str = "ord", name: str = "is_new"
+) -> DataFrame:
+    """All incoming rows, with whether a row is the first of a key that is not stored."""
+    landed = stored_once(incoming, "incoming")
+    fresh = new_keys(landed, stored, keys, order)
+    renamed = fresh.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, order)], F.lit(True).alias("_fresh"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, order)]
+    joined = landed.join(renamed, functools.reduce(Column.__and__, same), "left")
+    return joined.select(*incoming.columns, F.coalesce("_fresh", F.lit(False)).alias(name))

@@ -42,16 +42,8 @@ def classification_rate(classified: DataFrame) -> DataFrame:
     )
 
 
-def ingest_counters(suggestions: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Suggestions and newly stored ones per expanded seed.
-
-    Both sides are one union before the aggregation, so the counters need a single shuffle.
-    """
-    one, zero = F.lit(1), F.lit(0)
-    seen = suggestions.select(*keys, one.alias("_seen"), zero.alias("_new"))
-    added = new.select(*keys, zero.alias("_seen"), one.alias("_new"))
-    return (
-        seen.unionByName(added)
-        .groupBy(*keys)
-        .agg(F.sum("_seen").alias("suggestions"), F.sum("_new").alias("inserted"))
+def ingest_counters(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """Suggestions and newly stored ones per expanded seed, of rows marked by ``keyed.marked_new``."""
+    return marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("suggestions"), F.count_if("is_new").alias("inserted")
     )

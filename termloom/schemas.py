@@ -10,6 +10,12 @@ KEYWORDS = (
     "id bigint, keyword string, source string, seed string, collected_at timestamp, lang string"
 )
 KEYWORD_KEY = ["keyword", "lang", "source"]
+# the stored rows have one more column: `slot`, a hash of the key, by which they are bucketed
+STORED_KEYWORDS = (
+    "id bigint, keyword string, source string, seed string, collected_at timestamp, slot int, lang string"
+)
+# the partition of the rows that each append adds to count the ids given so far
+HIGH_WATER = "__high_water__"
 
 # `market` is the partition folder; it holds the label of the worldwide market where geo is ''
 SCORES = (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.operators.keyed import only_new
-from termloom.schemas import KEYWORD_KEY, KEYWORDS, SCORES
-from termloom.sources.tables import market_label, read_keywords, read_scores_table
+from termloom.operators.keyed import new_keys
+from termloom.schemas import HIGH_WATER, KEYWORD_KEY, SCORES, STORED_KEYWORDS
+from termloom.session import remove_folder, settings, shared_folder
+from termloom.sources.bucketed import BY_SLOT, bucketed, high_water, register, slot_of
+from termloom.sources.tables import market_label, read_scores_table
 
 
 def ensure_table(spark: SparkSession, path: str, schema: str, partition: str) -> None:
@@ -16,32 +18,82 @@ def ensure_table(spark: SparkSession, path: str, schema: str, partition: str) ->
     empty.write.mode("ignore").partitionBy(partition).parquet(path)
 
 
-def append_keywords(incoming: DataFrame, path: str, at: Column | None = None) -> int:
+def append_keywords(
+    incoming: DataFrame, path: str, at: Column | None = None, buckets: int | None = None
+) -> int:
     """Append suggestions whose (keyword, lang, source) is not stored; returns their number.
 
-    The comparison is case-sensitive and the first copy in ``ord`` wins. Ids follow the stored
-    ones in arrival order. Appending the same rows again adds nothing, so a job that lost its
-    executors, or a replayed stream batch, may simply be run again.
+    The comparison is case-sensitive and the first copy in ``ord`` wins. Ids are consecutive, follow the stored
+    ones and keep the order of arrival. Appending the same rows again adds nothing, so a job that lost its
+    executors, or a replayed stream batch, may simply be run again. ``ord`` is unique and never missing.
+
+    The table is bucketed by a hash of the key (``slot``), so its side of the comparison is neither shuffled nor read
+    beyond the buckets that the incoming keys fall into. A table keeps the number of buckets it was begun with: ``buckets``, or
+    the session's number of shuffle partitions, which is sized for the cluster and its data.
     """
     spark = incoming.sparkSession
     # a missing key part would never equal a stored one
     incoming = incoming.withColumns({key: F.coalesce(key, F.lit("")) for key in KEYWORD_KEY})
-    ensure_table(spark, path, KEYWORDS, "lang")
-    stored = read_keywords(spark, path)
-    base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0))).scalar()
-    new = only_new(incoming, stored, KEYWORD_KEY).select(
-        (base + F.col("ord")).alias("id"),
-        "keyword",
-        "source",
-        "seed",
-        (F.current_timestamp() if at is None else at).alias("collected_at"),
-        "lang",
-    )
-    count = Observation()
-    new.observe(count, F.count(F.lit(1)).alias("inserted")).write.mode("append").partitionBy(
-        "lang"
-    ).parquet(path)
-    return count.get["inserted"]
+    ensure_table(spark, path, STORED_KEYWORDS, "lang")
+    given, buckets = high_water(spark, path, buckets)
+    staged = shared_folder(spark, "incoming")
+    rows = incoming.select("keyword", "lang", "source", "seed", "ord", slot_of(buckets).alias("slot"))
+    rows.write.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    touched = [row["slot"] for row in rows.select("slot").distinct().collect()]  # at most SLOTS_PER_BUCKET a bucket
+    known = bucketed(spark, path, buckets).where(~F.col("lang").eqNullSafe(HIGH_WATER))
+    known = known.withColumn("lang", F.coalesce("lang", F.lit(""))).where(F.col("slot").isin(touched))
+    with settings(spark, BY_SLOT):
+        inserted = add_rows(_new_rows(rows, known), path, given, buckets, at)
+    remove_folder(spark, staged)
+    return inserted
+
+
+def _new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    fresh = new_keys(rows, known, ["slot", *KEYWORD_KEY]).select(*KEYWORD_KEY, "ord")
+    return rows.join(fresh, [*KEYWORD_KEY, "ord"], "left_semi")
+
+
+def add_rows(
+    new: DataFrame, path: str, given: int, buckets: int, at: Column | None = None, writer: str = "", batch: int | None = None
+) -> int:
+    """Append rows that are known to be new; returns their number.
+
+    Rows are written once in order of arrival, in ranges of like size; their counts give each range its first id. The row
+    that tells how many ids were given is part of the same write, so both are committed or neither. It also names
+    the ``writer`` (a stream) and its ``batch``.
+    """
+    spark = new.sparkSession
+    staged = shared_folder(spark, "new")
+    ordered = new.repartitionByRange("ord").sortWithinPartitions("ord")
+    # the number of the range above, the place inside it below
+    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(staged)
+    rows = spark.read.schema(new.schema.add("_at", "long")).parquet(staged)
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    starts, upto = [], given
+    for row in rows.groupBy("_range").count().orderBy("_range").collect():  # one row a range
+        starts.append((row["_range"], upto))
+        upto += row["count"]
+    if upto > given or batch is not None:
+        first = spark.createDataFrame(starts, "_range long, _start long")
+        when = F.current_timestamp() if at is None else at
+        added = rows.join(first, "_range").select(
+            (F.col("_start") + F.col("_place")).alias("id"), "keyword", "source", "seed", when.alias("collected_at"),
+            slot_of(buckets).alias("slot"), "lang",
+        )
+        mark = spark.range(1).select(
+            F.lit(upto).cast("long").alias("id"), F.lit(None).cast("string").alias("keyword"), F.lit(writer).alias("source"),
+            F.lit(batch).cast("string").alias("seed"), F.current_timestamp().alias("collected_at"),
+            F.lit(buckets).alias("slot"), F.lit(HIGH_WATER).alias("lang"),
+        )
+        table = register(spark, path, buckets)
+        (
+            added.unionByName(mark).repartition(buckets, "slot")
+            .write.mode("append").format("parquet").partitionBy("lang").bucketBy(buckets, "slot").option("path", path)
+            .saveAsTable(table)
+        )
+    remove_folder(spark, staged)
+    return upto - given
 
 
 def append_scores(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom import schemas
 from termloom.fixed_values import SUGGESTION_SOURCE
 from termloom.functions.text import strip
 
-#: Distance of two requests' numbers; a longer answer runs on into those of the next requests.
-REQUEST_STEP = 1 << 20
+#: More items than an answer can hold, because arrays are numbered by 32-bit integers.
+ANSWER_ITEMS = 1 << 31
+
+
+def arrival(request: Column, place: Column) -> Column:
+    """Unique place of an item in the order of requests and of items inside an answer, as one comparable number."""
+    return (request.cast("decimal(20,0)") * F.lit(ANSWER_ITEMS).cast("decimal(10,0)") + place).cast("decimal(38,0)")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +28,8 @@ def decode_suggestions(payloads: DataFrame, source: str = SUGGESTION_SOURCE) ->
 
     Only string items count (a number stays out instead of becoming text), blanks around
     them are stripped and blank items dropped. A payload that does not parse, or has no list
-    at its second place, gives no row. All other columns of the payload row are kept;
-    ``ord`` becomes request number * 2**20 + place in the answer.
+    at its second place, gives no row. All other columns of the payload row are kept; its
+    number becomes ``request``, the item's place in the answer ``place``, and ``ord`` orders items by both.
     """
     answer = F.try_variant_get(F.try_parse_json("payload"), "$[1]", "array<variant>")
     texts = F.filter(answer, lambda item: F.schema_of_variant(item) == "STRING")
@@ -35,7 +40,9 @@ def decode_suggestions(payloads: DataFrame, source: str = SUGGESTION_SOURCE) ->
             strip(F.try_variant_get("col", "$", "string")).alias("keyword"),
             F.lit(source).alias("source"),
             *kept,
-            (F.col("_request") * REQUEST_STEP + F.col("pos")).alias("ord"),
+            F.col("_request").alias("request"),
+            F.col("pos").alias("place"),
+            arrival(F.col("_request"), F.col("pos")).alias("ord"),
         )
         .where(F.col("keyword") != "")
     )

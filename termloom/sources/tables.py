@@ -25,6 +25,8 @@ def read_keywords(spark: SparkSession, path: str, lang: str | None = None) -> Da
     stored = _table(spark, path, schemas.KEYWORDS)
     if lang:
         stored = stored.where(F.col("lang") == lang)
+    else:
+        stored = stored.where(~F.col("lang").eqNullSafe(schemas.HIGH_WATER))
     # an empty partition value is stored as null
     return stored.withColumn("lang", F.coalesce("lang", F.lit("")))
 
