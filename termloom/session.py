@@ -38,6 +38,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The shuffle files behind a table go as soon as it is written.
+CLEAN_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold for the actions inside only."""
@@ -67,5 +71,6 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     it again, which would evaluate the rules every time. The table survives lost executors.
     """
     path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    with settings(rows.sparkSession, CLEAN_SHUFFLES):
+        rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators.keyed import new_keys
 from termloom.schemas import HIGH_WATER, KEYWORD_KEY, SCORES, STORED_KEYWORDS
-from termloom.session import remove_folder, settings, shared_folder
+from termloom.session import CLEAN_SHUFFLES, remove_folder, settings, shared_folder
 from termloom.sources.bucketed import BY_SLOT, bucketed, high_water, register, slot_of
 from termloom.sources.tables import market_label, read_scores_table
 
@@ -38,46 +38,52 @@ def append_keywords(
     given, buckets = high_water(spark, path, buckets)
     staged = shared_folder(spark, "incoming")
     rows = incoming.select("keyword", "lang", "source", "seed", "ord", slot_of(buckets).alias("slot"))
-    rows.write.parquet(staged)
+    with settings(spark, CLEAN_SHUFFLES):
+        rows.write.parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged)
     touched = [row["slot"] for row in rows.select("slot").distinct().collect()]  # at most SLOTS_PER_BUCKET a bucket
     known = bucketed(spark, path, buckets).where(~F.col("lang").eqNullSafe(HIGH_WATER))
     known = known.withColumn("lang", F.coalesce("lang", F.lit(""))).where(F.col("slot").isin(touched))
-    with settings(spark, BY_SLOT):
-        inserted = add_rows(_new_rows(rows, known), path, given, buckets, at)
+    fresh = new_keys(rows, known, ["slot", *KEYWORD_KEY]).select("ord")
+    inserted = add_rows(rows, fresh, path, given, buckets, at)
     remove_folder(spark, staged)
     return inserted
 
 
-def _new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
-    fresh = new_keys(rows, known, ["slot", *KEYWORD_KEY]).select(*KEYWORD_KEY, "ord")
-    return rows.join(fresh, [*KEYWORD_KEY, "ord"], "left_semi")
-
-
 def add_rows(
-    new: DataFrame, path: str, given: int, buckets: int, at: Column | None = None, writer: str = "", batch: int | None = None
+    rows: DataFrame,
+    new: DataFrame,
+    path: str,
+    given: int,
+    buckets: int,
+    at: Column | None = None,
+    writer: str = "",
+    batch: int | None = None,
 ) -> int:
-    """Append rows that are known to be new; returns their number.
+    """Append the rows whose ``ord`` stands in ``new``; returns their number.
 
-    Rows are written once in order of arrival, in ranges of like size; their counts give each range its first id. The row
-    that tells how many ids were given is part of the same write, so both are committed or neither. It also names
+    The places alone are sorted, in ranges of like size whose counts give each range its first id. The row
+    that tells how many ids were given is part of the write of the rows, so both are committed or neither. It also names
     the ``writer`` (a stream) and its ``batch``.
     """
-    spark = new.sparkSession
+    spark = rows.sparkSession
     staged = shared_folder(spark, "new")
-    ordered = new.repartitionByRange("ord").sortWithinPartitions("ord")
+    ordered = new.select("ord").repartitionByRange("ord").sortWithinPartitions("ord")
     # the number of the range above, the place inside it below
-    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(staged)
-    rows = spark.read.schema(new.schema.add("_at", "long")).parquet(staged)
-    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    ordered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    with settings(spark, BY_SLOT | CLEAN_SHUFFLES):
+        ordered.write.parquet(staged)
+    places = spark.read.schema(ordered.schema).parquet(staged).select(
+        "ord", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
+    )
     starts, upto = [], given
-    for row in rows.groupBy("_range").count().orderBy("_range").collect():  # one row a range
+    for row in places.groupBy("_range").count().orderBy("_range").collect():  # one row a range
         starts.append((row["_range"], upto))
         upto += row["count"]
-    if upto > given or batch is not None:
+    if upto > given:
         first = spark.createDataFrame(starts, "_range long, _start long")
         when = F.current_timestamp() if at is None else at
-        added = rows.join(first, "_range").select(
+        added = rows.join(places.join(first, "_range"), "ord").select(
             (F.col("_start") + F.col("_place")).alias("id"), "keyword", "source", "seed", when.alias("collected_at"),
             slot_of(buckets).alias("slot"), "lang",
         )
@@ -87,11 +93,12 @@ def add_rows(
             F.lit(buckets).alias("slot"), F.lit(HIGH_WATER).alias("lang"),
         )
         table = register(spark, path, buckets)
-        (
-            added.unionByName(mark).repartition(buckets, "slot")
-            .write.mode("append").format("parquet").partitionBy("lang").bucketBy(buckets, "slot").option("path", path)
-            .saveAsTable(table)
-        )
+        with settings(spark, CLEAN_SHUFFLES):
+            (
+                added.unionByName(mark).repartition(buckets, "slot")
+                .write.mode("append").format("parquet").partitionBy("lang").bucketBy(buckets, "slot").option("path", path)
+                .saveAsTable(table)
+            )
     remove_folder(spark, staged)
     return upto - given
 

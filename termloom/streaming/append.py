@@ -64,7 +64,7 @@ def append_spellings(
         rows = session.read.schema(batch.schema).parquet(staged)
         if not rows.isEmpty():
             given, buckets = high_water(session, table)
-            add_rows(rows, table, given, buckets, writer=checkpoint, batch=number)
+            add_rows(rows, rows, table, given, buckets, writer=checkpoint, batch=number)
         remove_folder(session, staged)
 
     decided = first_spellings(suggestions, read_keywords(spark, table), slots)

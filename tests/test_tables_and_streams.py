@@ -284,7 +284,7 @@ def test_a_replayed_micro_batch_adds_nothing(spark, tmp_path):
     rows = suggestions(spark, [("b", "fr", "1"), ("c", "fr", "2")])
     given, buckets = high_water(spark, table)
     assert not has_batch(spark, table, "stream", 4)
-    assert add_rows(rows, table, given, buckets, writer="stream", batch=4) == 2
+    assert add_rows(rows, rows, table, given, buckets, writer="stream", batch=4) == 2
     assert has_batch(spark, table, "stream", 4) and not has_batch(spark, table, "stream", 5)
     assert high_water(spark, table) == (3, buckets) and read_keywords(spark, table).count() == 3
 
