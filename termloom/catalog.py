@@ -23,7 +23,7 @@ from termloom.operators.noise import route_noise
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
 from termloom.session import shared_folder
-from termloom.sources.interest import read_interest
+from termloom.sources.interest import read_interest, read_interest_lines
 from termloom.session import stored as stored_once
 from termloom.sinks import reports
 from termloom.sinks.tables import append_keywords, append_scores
@@ -252,13 +252,16 @@ def _(spark, sf_dir):
     )
 
 
-def _lineitem_series(spark, sf_dir) -> DataFrame:
-    wide = _read(spark, sf_dir, "lineitem").select(
+def _lineitem_wide(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
-        (F.col("l_linestatus") == "O").alias("isPartial"),
+        (F.col("l_linestatus") == "O").alias("isPartial"), F.col("l_returnflag").alias("flag"),
     )
-    return unpivot_interest(wide)
+
+
+def _lineitem_series(spark, sf_dir) -> DataFrame:
+    return unpivot_interest(_lineitem_wide(spark, sf_dir).drop("flag"))
 
 
 LINEITEM_SERIES = """(
@@ -296,6 +299,22 @@ def _(spark, sf_dir):
     return monthly_average(read_interest(spark, landed), ["keyword"], batch="batch")
 
 
+@query("interest_variant", f"""
+select keyword, cast(month(date) as int) as month, {_mean('value')} as interest_score from (
+  select l_shipdate as date, 'quantity' as keyword, l_quantity as value from lineitem
+  union all select l_shipdate, 'discount', l_discount from lineitem where l_returnflag = 'N'
+  union all select l_shipdate, 'tax', null from lineitem where l_returnflag = 'N')
+group by 1, 2""")
+def _(spark, sf_dir):
+    landed = shared_folder(spark, "interest-lines")
+    rows = _lineitem_wide(spark, sf_dir)
+    rows.drop("flag").write.json(f"{landed}/batch=0")
+    # the later batch has no quantity, and tax without a value
+    later = rows.where("flag = 'N'").drop("flag", "quantity").withColumn("tax", F.lit(None).cast("double"))
+    later.write.option("ignoreNullFields", False).json(f"{landed}/batch=1")
+    return monthly_average(read_interest_lines(spark, landed), ["keyword"], batch="batch")
+
+
 @query("scores_stored_by_geo", f"""
 select o_orderpriority as keyword, '' as geo, cast(month(o_orderdate) as int) as month,
   {_mean('o_totalprice')} as interest_score
@@ -545,6 +564,33 @@ def _(spark, sf_dir):
     return _routed(spark, sf_dir, " EN ")
 
 
+SEED_PACK = [("src1", "teens"), ("src0", "origin"), ("src", "others")]
+_SEED_THEME = "case " + " ".join(f"when starts_with(lower(source), '{p}') then '{t}'" for p, t in SEED_PACK) + " end"
+_LISTED = _routed_sql("else 'matching'").rpartition("select")[0].replace(
+    "docs)", f"""docs), noted as (select *, {_SEED_THEME} as cluster,
+    case source when 'src0' then 'EN' when 'src1' then ' it ' when 'src2' then 'free text' else '' end as notes from decl)""", 1
+).replace("from decl where", "from noted where")
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    shouted = F.when(F.col("source") == "src3", F.upper("lang")).otherwise(F.col("lang"))
+    tagged = sheet(spark, sf_dir).withColumn("lang", shouted)
+    return stored_once(themes.route_tagged(tagged, prefixes=SEED_PACK), "listed")
+
+
+@query("clustered_report", f"""{_LISTED}
+select cluster, keyword, source as seed, resolved as lang, tag as intent, notes from routed where route = 'matching'""")
+def _(spark, sf_dir):
+    return reports.CLUSTERED.of(_listed(spark, sf_dir).where(F.col("route") == themes.MATCHING))
+
+
+@query("cross_language_report", f"""{_LISTED}
+select resolved as resolved_lang, keyword, source as seed, cluster, tag as intent from routed
+where route = 'cross_language'""")
+def _(spark, sf_dir):
+    return reports.CROSS_LANGUAGE.of(_listed(spark, sf_dir).where(F.col("route") == themes.CROSS_LANGUAGE))
+
+
 # --- expansion and append ----------------------------------------------------------------------
 
 
@@ -769,3 +815,17 @@ def _(spark, sf_dir):
 @query("word_counts", f"{_WORDS} select word, n from counted")
 def _(spark, sf_dir):
     return diagnostics.word_frequency(_open_keywords(spark, sf_dir), top=None)
+
+
+@query("diagnostic_reports", f"""{_PACK_CONFLICTS}
+select route as report, keyword, source as seed, lang, '' as intent, '' as notes,
+  case when route = 'conflict' then matched_categories end as matched_categories
+from routed where route in ('no_match', 'conflict')""")
+def _(spark, sf_dir):
+    blank = texts(spark, sf_dir).withColumns({"intent": F.lit(""), "notes": F.lit("")})
+    routed = stored_once(diagnostics.matched_categories(blank, CONFLICT_RULES), "diagnosed")
+    parts = []
+    for route, report in (("no_match", reports.NO_MATCH), ("conflict", reports.CONFLICTS)):
+        rows = report.of(routed.where(F.col("route") == route), tie=None)
+        parts.append(rows.select(F.lit(route).alias("report"), "*"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)

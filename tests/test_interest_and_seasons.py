@@ -10,7 +10,7 @@ from termloom.operators.numbering import assign_batches, numbered
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.seasonality import export_scores, interest_requests, store_monthly_scores
 from termloom.sinks.tables import append_scores
-from termloom.sources.interest import read_interest
+from termloom.sources.interest import read_interest, read_interest_lines
 from termloom.sources.tables import read_scores
 
 
@@ -153,3 +153,25 @@ def test_batches_of_five(spark):
     df = spark.createDataFrame([("en", n) for n in range(7)] + [("fr", 3)], "lang string, id long")
     found = {(r.lang, r.id): r.batch for r in assign_batches(df, ["lang"]).collect()}
     assert [found["en", n] for n in range(7)] == [0, 0, 0, 0, 0, 1, 1] and found["fr", 3] == 0
+
+
+def test_landed_lines_unfold_in_one_scan(spark, tmp_path):
+    for batch, lines in {
+        0: ['{"date": "2024-01-01", "a": 1, "b": 2.5, "isPartial": false}', "[1]", "broken", '{"date": "2024-02-01", "a": 7, "o\\"dd.name": 3}'],
+        2: ['{"date": "2024-01-08 00:00:00", "a": null, "c": "text", "isPartial": true}'],
+        10: ['{"date": "2024-01-15", "b": 4}', '{"date": "2024-01-22", "b": 5}'],
+    }.items():
+        folder = tmp_path / f"batch={batch}"
+        folder.mkdir()
+        (folder / "lines.json").write_text("\n".join(lines) + "\n")
+    long = read_interest_lines(spark, str(tmp_path))
+    rows = {(r.date.month, r.batch, r.keyword, r.value) for r in long.where("date is not null").collect()}
+    assert rows == {
+        (1, 0, "a", 1.0), (1, 0, "b", 2.5), (2, 0, "a", 7.0), (2, 0, 'o"dd.name', 3.0), (1, 2, "a", None), (1, 2, "c", None),
+        (1, 10, "b", 4.0), (1, 10, "b", 5.0),
+    }
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and "Exchange" not in plan
+    means = {(r.keyword, r.month): r.interest_score for r in monthly_average(long, ["keyword"], batch="batch").collect()}
+    # the later batch of a holds a missing value only, and replaces the earlier one whole
+    assert means == {("a", 1): None, ("b", 1): 4.5, ("c", 1): None, ('o"dd.name', 2): 3.0}
