@@ -46,6 +46,8 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("the links did not come to rest; their components would not be whole")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
