@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and calibration of scores."""
+"""Bounded samples of labelled documents, and the logistic function."""
 
 from __future__ import annotations
 
@@ -18,14 +18,15 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
     return rows.dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def sampled(rows: DataFrame, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, those of smallest hashed id: a bounded sample for fitting.
+def sampled(rows: DataFrame, per_label: int, *keys: str) -> DataFrame:
+    """At most ``per_label`` rows of each label, those of smallest hashed id (or hashed ``keys``): a bounded sample for fitting.
 
     The rows of a label are first cut down within salted groups, so no window holds a whole label.
     """
-    dealt = rows.withColumn("_order", F.xxhash64(F.lit("sample"), "doc_id")).withColumn("_salt", F.pmod("_order", F.lit(64)))
-    for keys in (["label", "_salt"], ["label"]):
-        within = Window.partitionBy(*keys).orderBy("_order", "doc_id")
+    keys = keys or ("doc_id",)
+    dealt = rows.withColumn("_order", F.xxhash64(F.lit("sample"), *keys)).withColumn("_salt", F.pmod("_order", F.lit(64)))
+    for group in (["label", "_salt"], ["label"]):
+        within = Window.partitionBy(*group).orderBy("_order", *keys)
         dealt = dealt.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_label)
     return dealt.drop("_order", "_salt", "_n")
 
@@ -36,22 +37,3 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
-
-
-def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The score that separates the labels with the fewest errors, each label weighing the same; the
-    middle of the gap where several do."""
-    if not len(scores) or labels.min() == labels.max():
-        return 0.0
-    order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    # errors when all up to i are called 0
-    missed = np.append(0, np.cumsum(y)) / y.sum()
-    false = 1 - np.append(0, np.cumsum(1 - y)) / (1 - y).sum()
-    cost = missed + false
-    edge = np.append(np.append(True, s[1:] > s[:-1]), True)
-    cost = np.where(edge, cost, np.inf)
-    i = int(cost.argmin())
-    low = s[i - 1] if i else s[0] - 1
-    high = s[i] if i < len(s) else s[-1] + 1
-    return float((low + high) / 2)

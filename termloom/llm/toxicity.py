@@ -17,18 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.bytesview import Rolling, bytes_of, chunks
-from termloom.llm.labelled import best_cut, fold, logit, one_label, sampled, sigmoid
+from termloom.llm.labelled import fold, logit, one_label, sampled, sigmoid
 from termloom.llm.tables import Workspace
 
 #: Labelled rows per label that the model is fitted on at most.
 FIT_ROWS = 3000
 #: Lengths of word beginnings in bytes, which are features beside the words.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 CUT, OFFENDING = 0.7, 0.5
 #: The logit of a sentence with nothing known in it, so that very many of them stay harmless.
 BIAS = -9.0
-#: Deviations by which a feature's toxic documents have to exceed the expected number, and their least share.
-CLEARLY, MOSTLY = 5.0, 0.8
+#: A feature can get a weight if it stands in this many documents and the logarithm of its shares' ratio, toxic to
+#: other documents and drawn towards zero by this many documents of the sample's own mixture, reaches the least evidence.
+SEEN, EVIDENCE, DRAWN = 3, 1.0, 4.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -113,14 +114,13 @@ class Model:
     known: np.ndarray  # hashes of the features that count, in order
     weights: np.ndarray  # theirs, and a zero for all others
     bias: float
-    shift: float
 
     def logits(self, bags: Bags) -> np.ndarray:
         words = self.weights[_places(self.known, bags.features)].sum(axis=0)
         return self.bias + np.bincount(bags.sentence_of_word, words, len(bags.doc_of_sentence))
 
     def scores(self, none: np.ndarray) -> np.ndarray:
-        return np.where(none == 0, 0.0, sigmoid(_log_odds(none) - self.shift + logit(CUT)))
+        return np.where(none == 0, 0.0, sigmoid(_log_odds(none) + logit(CUT)))
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Bags]]:
@@ -173,9 +173,10 @@ def _counted(own: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 )
 
 
-def _found(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row the number of its sentences, and where which known features stand."""
+def _found(own: np.ndarray, known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row that is ``own`` the number of its sentences, and where which known features stand."""
     for batch in batches:
+        batch = batch.filter(pa.array(np.isin(batch.column("row").to_numpy(), own)))
         for low, high, bags in _parts(batch):
             places = _places(known, bags.features)
             hit = places < len(known)
@@ -198,25 +199,30 @@ def _in_order(rows: DataFrame, *lists: str) -> tuple[dict[str, np.ndarray], dict
     return flat, {c: [np.asarray(x.values) for x in table.column(c)] for c in lists}
 
 
+def _telling(counts: DataFrame, base: float) -> DataFrame:
+    """Features with enough evidence; it compares shares within each label, so the labels' own ratio does not move it."""
+    toxic = (F.col("toxic") + DRAWN * base) / base
+    other = (F.col("shared") - F.col("toxic") + DRAWN * (1 - base)) / (1 - base)
+    return counts.where((F.col("shared") >= SEEN) & (F.log(toxic / other) >= EVIDENCE)).select("feature")
+
+
 def learn(sample: DataFrame) -> Model:
     """Of ``order, row, label, text``, whole texts: tasks turn them to prints, counts and places of the features
-    that count, which alone reach the driver. Features count whose documents are mostly toxic, and clearly more
-    often than documents are."""
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(1), BIAS, logit(CUT))
+    with some evidence, which alone reach the driver; the regularised fit decides what they weigh. Copies count once."""
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(1), BIAS)
     keys = "order long, row long, label int"
     flat, lists = _in_order(sample.mapInArrow(_prints, f"{keys}, prints array<double>"), "prints")
     labels = flat["label"].astype(np.int64)
-    if not len(labels) or labels.min() == labels.max():
+    own = _own(lists["prints"]) if len(labels) else np.zeros(0, bool)
+    if not own.any() or labels[own].min() == labels[own].max():
         return nothing
-    own = np.sort(flat["row"][_own(lists["prints"])])
-    base = float(labels.mean())
-    counts = sample.mapInArrow(partial(_counted, own), "feature long, shared long, toxic long")
+    rows = np.sort(flat["row"][own])
+    counts = sample.mapInArrow(partial(_counted, rows), "feature long, shared long, toxic long")
     counts = counts.groupBy("feature").agg(F.sum("shared").alias("shared"), F.sum("toxic").alias("toxic"))
-    above = F.col("toxic") - F.col("shared") * base >= CLEARLY * F.sqrt(F.col("shared") * (base * (1 - base)) + 0.25)
-    clear = counts.where(above & (F.col("toxic") >= MOSTLY * F.col("shared"))).select("feature").toArrow()
-    known = np.sort(clear.column("feature").to_numpy().astype(np.int64).view(np.uint64))
+    telling = _telling(counts, float(labels[own].mean())).toArrow()
+    known = np.sort(telling.column("feature").to_numpy().astype(np.int64).view(np.uint64))
     schema = f"{keys}, sentences long, within array<bigint>, places array<int>"
-    flat, lists = _in_order(sample.mapInArrow(partial(_found, known), schema), "within", "places")
+    flat, lists = _in_order(sample.mapInArrow(partial(_found, rows, known), schema), "within", "places")
     sentences, hits = flat["sentences"], np.array([len(x) for x in lists["places"]])
     first = np.append(0, np.cumsum(sentences))[:-1]
     bags = Known(
@@ -225,31 +231,32 @@ def learn(sample: DataFrame) -> Model:
         np.repeat(np.arange(len(sentences)), sentences),
         len(sentences),
     )
-    return fit(known, bags, flat["label"].astype(np.int64))
+    return Model(known, fit(len(known), bags, flat["label"].astype(np.int64)), BIAS)
 
 
-def fit(
-    known: np.ndarray, bags: Known, labels: np.ndarray, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4
-) -> Model:
-    """Gradient steps on the noisy-or likelihood, both labels weighing the same."""
-    weights = np.zeros(len(known) + 1)
+def loss_of(weights: np.ndarray, bags: Known, labels: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of the noisy-or with squared weights added, both labels weighing the same, and its
+    gradient. The last weight stands for unknown words."""
+    logits = BIAS + np.bincount(bags.sentence_of_place, weights[bags.places], len(bags.doc_of_sentence))
+    none = _none_toxic(bags, logits)
+    some = np.maximum(-np.expm1(none), 1e-12)
+    share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
+    loss = float((share * np.where(labels == 1, -np.log(some), -none)).sum() + decay / 2 * (weights**2).sum())
+    pull = np.where(labels == 1, -np.exp(none) / some, 1.0) * share
+    by_sentence = pull[bags.doc_of_sentence] * sigmoid(logits)
+    return loss, np.bincount(bags.places, by_sentence[bags.sentence_of_place], len(weights)) + decay * weights
 
-    def sentence_logits() -> np.ndarray:
-        return BIAS + np.bincount(bags.sentence_of_place, weights[bags.places], len(bags.doc_of_sentence))
 
-    share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
-    step = np.zeros(len(weights))
-    for _ in range(rounds):
-        logits = sentence_logits()
-        none = _none_toxic(bags, logits)
-        some = np.maximum(-np.expm1(none), 1e-12)
-        pull = np.where(labels == 1, -np.exp(none) / some, 1.0) * share
-        by_sentence = pull[bags.doc_of_sentence] * sigmoid(logits)
-        gradient = np.bincount(bags.places, by_sentence[bags.sentence_of_place], len(weights)) + decay * weights
-        step = 0.8 * step + gradient * (rate / max(np.abs(gradient).max(), 1e-9))
-        weights = weights - step
-    none = _none_toxic(bags, sentence_logits())
-    return Model(known, weights, BIAS, max(0.0, best_cut(_log_odds(none), labels)))
+def fit(known: int, bags: Known, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
+    """Weights of the features, and a zero for all others: gradient steps on the noisy-or likelihood, scaled by
+    running means of the gradient and of its square."""
+    weights, mean, square = np.zeros(known + 1), np.zeros(known + 1), np.zeros(known + 1)
+    for i in range(1, rounds + 1):
+        _, gradient = loss_of(weights, bags, labels, decay)
+        mean = 0.9 * mean + 0.1 * gradient
+        square = 0.99 * square + 0.01 * gradient**2
+        weights = weights - rate * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-8)
+    return weights
 
 
 def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,19 +289,22 @@ def toxicity(
     """The input's columns, with ``score`` (0 to 1) and ``offending`` (sentences that score at least 0.5).
 
     ``labels`` has ``doc_id, toxic``; ``learn_from`` says, by document id, which rows may be learned from. The
-    model is fitted on the whole texts of at most ``fit_rows`` rows of each label, and on nothing without both
-    labels: then every document scores low. Every whole text is scored, in chunks of rows. A text without words scores 0. Missing texts are empty; input columns named
-    like the two new ones give way.
+    model is fitted on the whole texts of at most ``fit_rows`` rows of each label, different texts of a repeated id
+    being rows of their own and equal ones a single row; of labels that clash the larger counts, and others than 0 and 1 do not. Without both
+    labels nothing is learned and every document scores low. A score of 0.7 means that a toxic sentence is as likely as none,
+    both labels weighing the same. Every whole text is scored, in chunks of rows. A text without words scores 0. Missing
+    texts are empty; input columns named like the two new ones give way.
     """
     docs = docs.drop(*[c for c in ("score", "offending") if c in docs.columns])
-    known = one_label(labels.where(learn_from), "toxic")
+    known = one_label(labels.where(learn_from & F.col("toxic").isin(0, 1)), "toxic")
     texts = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")
-    )
-    chosen = sampled(texts.select("doc_id").join(known, "doc_id"), fit_rows).distinct()
+        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
+    ).withColumn("print", F.xxhash64("text"))
+    different = texts.select("doc_id", "print").join(known, "doc_id").distinct()
+    chosen = F.broadcast(sampled(different, fit_rows, "doc_id", "print"))  # two labels, so twice fit_rows at most
     space = Workspace(docs.sparkSession, "toxicity")
-    sample = texts.join(chosen, "doc_id").select(
-        F.xxhash64("doc_id", "text").alias("order"), F.monotonically_increasing_id().alias("row"), "label", "text"
+    sample = texts.join(chosen, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select(
+        F.xxhash64("doc_id", "print").alias("order"), F.monotonically_increasing_id().alias("row"), "label", "text"
     )
     model = learn(space.save(sample, "sample"))
     space.drop("sample")

@@ -183,6 +183,48 @@ def test_toxicity_learns_from_the_end_of_long_texts(spark):
     assert all(any("You" in s for s in found[i].offending) for i, _, y in rows if y)
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda sample: (seen.append(sample.collect()), learn(sample))[1])
+    rows = [(1, f"text number {i}") for i in range(500)] + [(1, "the same")] * 500 + [(2, "clean one"), (2, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 5), (4, 0)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels, F.lit(True), fit_rows=2)
+    assert out.count() == len(rows)
+    assert sorted(x.label for x in seen[0]) == [0, 0, 1, 1] and len({x.text for x in seen[0] if x.label}) == 2
+
+
+def test_noisy_or_against_brute_force():
+    r = np.random.default_rng(4)
+    texts = [". ".join(" ".join(r.choice(["ab", "cd", "Ef", "gh", "éi"], 4)) for _ in range(r.integers(0, 5))) for _ in range(40)]
+    texts[3], labels = "", r.integers(0, 2, 40)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bags = toxicity.bags_of(data, np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    known = np.unique(bags.features[0])[:-1]  # of one word nothing is known
+    weights = np.append(r.normal(size=len(known)) * 3, 0.0)
+    model = toxicity.Model(known, weights, -2.0)
+    own = {w: toxicity.bags_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).features[0, 0] for w in ("ab", "cd", "ef", "gh", "éi")}
+    weight = {w: dict(zip(known.tolist(), weights)).get(int(h), 0.0) for w, h in own.items()}
+    scores = model.scores(toxicity._none_toxic(bags, model.logits(bags)))
+    for text, score in zip(texts, scores):
+        none = 1.0
+        for sentence in text.lower().split(". "):
+            if sentence:
+                none *= 1 - 1 / (1 + math.exp(2 - sum(weight[w] for w in sentence.split())))
+        wanted = 0.0 if not text else 1 / (1 + none / (1 - none) * 0.3 / 0.7)
+        assert score == pytest.approx(wanted, abs=1e-9)
+    places = toxicity._places(known, bags.features[0])
+    hit = places < len(known)
+    found = toxicity.Known(places[hit].astype(np.int64), bags.sentence_of_word[hit], bags.doc_of_sentence, bags.docs)
+    _, gradient = toxicity.loss_of(weights, found, labels, 0.01)
+    for i in range(len(known)):
+        step = np.zeros(len(weights))
+        step[i] = 1e-5
+        ahead, behind = (toxicity.loss_of(weights + sign * step, found, labels, 0.01)[0] for sign in (1, -1))
+        assert gradient[i] == pytest.approx((ahead - behind) / 2e-5, abs=1e-6)
+
+
 def test_quality_of_held_out_documents(spark):
     r = random.Random(6)
     rows = [(i, prose(80, r) + "." if i % 4 else prose(30, r).upper() + "!! " + "spam " * r.randrange(20, 60), int(i % 4 > 0)) for i in range(400)]
