@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -43,6 +44,50 @@ def test_main_text(spark):
     assert maincontent.main_content(frame.limit(0)).count() == 0
 
 
+def test_best_region_against_all_intervals():
+    r = random.Random(21)
+    for _ in range(200):
+        scores = [r.choice([-3.0, -1.0, -0.05, 0.0, 1.0, 2.5]) for _ in range(r.randrange(0, 25))]
+        first, last = maincontent.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0.0)
+        assert sum(scores[first:last]) == pytest.approx(max(best, 0.0))
+
+
+WORDS = " ".join(f"w{i}" for i in range(100))
+
+
+@pytest.mark.parametrize("learned", [True, False])
+def test_names_are_weighed_against_words(learned):
+    pages = [PAGE.format(tag="article", more=f"<p>{WORDS}</p>")] * 30
+    weights = maincontent.weights_of(maincontent.counts_of(pages)) if learned else {}
+    text = lambda page: maincontent.main_text(page, weights)
+    assert text(f"<article><h1>T</h1><div class='search results'>{WORDS}</div></article>") == f"T\n\n{WORDS}"
+    assert text(f"<body><div class='related-work'><p>{WORDS}</p></div></body>") == WORDS
+    assert text("<article><h1>The head</h1><p>Some words</p><div class='share-price'><p>The price rose.</p></div></article>").endswith("The price rose.")
+    furniture = (
+        f"<aside>{WORDS}</aside><div class='comments'><p>{WORDS}</p><p>Nice</p></div><div class=notice>We use it</div>"
+        "<div class='related-posts'><a href=x>one two three</a></div><div id='ad-slot'><p>Buy</p></div><form>Your name</form>"
+    )
+    page = f"<nav>a b</nav><article><header><h1>Head</h1></header><p>{WORDS}</p>{furniture}<p>{WORDS} end</p></article><footer>f</footer>"
+    assert text(page) == f"Head\n\n{WORDS}\n\n{WORDS} end"
+
+
+@pytest.mark.parametrize(
+    "page", ["<a x" * 250_000, "if a <b and c " * 70_000, "<div>" * 50_000 + "</p>" * 50_000, '<a x="' * 150_000, "<svg>" * 100_000,
+             "<div class=ad>" * 40_000 + "</li>" * 40_000, "</div" * 200_000, "<!--" * 200_000]
+)
+def test_malformed_pages_take_linear_time(page):
+    begun = time.process_time()
+    maincontent.main_text(page, {})
+    assert time.process_time() - begun < 8
+
+
+def test_text_that_looks_like_markup_stays():
+    assert maincontent.main_text("<p>if a <b and c < d & e</p><p>x <3 y", {}) == "if a <b and c < d & e\n\nx <3 y"
+    assert maincontent.main_text("<p>one <svg> two <object>three", {}) == "one two three"
+    assert maincontent.main_text("<p title='a > b'>one</p><script>1 < 2</script>two<style>x", {}) == "one\n\ntwo"
+
+
 # --- preference format ------------------------------------------------------------------------------
 
 
