@@ -36,20 +36,31 @@ def last_reply(turns: Column) -> Column:
     return F.when(at > 0, F.size(turns) - at + 1).otherwise(0).cast("int")
 
 
-def _mask(turns: Column) -> Column:
-    """Start and length, in characters of the completion, of what is trained on: assistant texts with their end mark."""
-    lead = F.transform(turns, lambda t: F.length(F.concat(F.lit(OPEN), t["role"], F.lit("\n"))))
-    sizes = F.transform(turns, lambda t: F.length(rendered(t)))
-    spans = F.transform(
-        turns,
-        lambda t, i: F.struct(
-            (F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda s, x: s + x) + F.element_at(lead, i + 1)).alias("start"),
-            (F.element_at(sizes, i + 1) - F.element_at(lead, i + 1) - 1).alias("length"),
+def _shown(turns: Column) -> Column:
+    """Each turn as it is rendered, and how much of that comes before its text; a missing turn, role or text is empty."""
+    whole = lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    return F.transform(
+        F.transform(turns, whole),
+        lambda t: F.struct(
+            rendered(t).alias("shown"),
+            (F.length(t["role"]) + F.lit(len(OPEN) + 1)).alias("lead"),
             (t["role"] == "assistant").alias("own"),
         ),
     )
-    return F.transform(
-        F.filter(spans, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))
+
+
+def _mask(shown: Column) -> Column:
+    """Start and length, in characters of the completion, of what is trained on: assistant texts with their end mark."""
+    span = lambda s, t: F.struct((s["at"] + t["lead"]).alias("start"), (F.length(t["shown"]) - t["lead"] - 1).alias("length"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    return F.aggregate(
+        shown,
+        begin,
+        lambda s, t: F.struct(
+            (s["at"] + F.length(t["shown"])).alias("at"),
+            F.when(t["own"], F.concat(s["spans"], F.array(span(s, t)))).otherwise(s["spans"]).alias("spans"),
+        ),
+        lambda s: s["spans"],
     )
 
 
@@ -58,13 +69,14 @@ def preference_format(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     ``n_common`` turns are shared from the start; ``prompt`` holds them, rendered once, ``chosen`` and ``rejected`` the rest
     of each side, ``chosen_mask`` and ``rejected_mask`` the spans to train on. A side that ends with the shared turns is
-    empty; a missing side has no turns. Other columns stay, but those named like new ones give way.
+    empty; a missing side has no turns. A missing turn, role or text counts as empty and keeps its place, so that an
+    empty text and a missing one are the same turn. Other columns stay, but those named like new ones give way.
     """
     made = ("n_common", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
     none = F.array().cast("array<struct<role:string,text:string>>")
     rest = [F.col(f"`{c}`") for c in pairs.columns if c not in (*made, chosen, rejected)]
-    sides = pairs.select(*rest, F.coalesce(chosen, none).alias("__c"), F.coalesce(rejected, none).alias("__r"))
-    differ = F.array_position(F.zip_with("__c", "__r", lambda a, b: a.eqNullSafe(b)), False)
+    sides = pairs.select(*rest, _shown(F.coalesce(chosen, none)).alias("__c"), _shown(F.coalesce(rejected, none)).alias("__r"))
+    differ = F.array_position(F.zip_with("__c", "__r", lambda a, b: a["shown"].eqNullSafe(b["shown"])), False)
     common = F.when(differ > 0, differ - 1).otherwise(F.size("__c")).cast("int")
     cut = sides.withColumn("n_common", common).select(
         *rest,
@@ -73,7 +85,7 @@ def preference_format(pairs: DataFrame, chosen: str = "chosen", rejected: str =
         F.slice("__c", F.col("n_common") + 1, F.size("__c")).alias("__c"),
         F.slice("__r", F.col("n_common") + 1, F.size("__r")).alias("__r"),
     )
-    text = lambda name: F.array_join(F.transform(name, rendered), "")
+    text = lambda name: F.array_join(F.transform(name, lambda t: t["shown"]), "")
     return cut.select(
         *rest,
         "n_common",

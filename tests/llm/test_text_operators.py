@@ -112,6 +112,29 @@ def test_preference_format(spark):
             assert spans == [shown([t])[len("<|im_start|>assistant\n") : -1] for t in rest if t[0] == "assistant"]
 
 
+def test_preference_format_keeps_missing_turns(spark):
+    a, b = ("user", "q"), ("assistant", "yes")
+    rows = [
+        (1, [a, None, b], [a, ("", ""), ("assistant", None)]),
+        (2, [("user", None), ("assistant", None)], [("user", ""), (None, "x")]),
+        (3, [None], []),
+        (4, [a, b] * 600, [a, b] * 500 + [b]),
+    ]
+    side = "array<struct<role:string,text:string>>"
+    frame = spark.createDataFrame(rows, f"id int, chosen {side}, rejected {side}")
+    found = {r.id: r for r in preference.preference_format(frame).collect()}
+    turn = lambda t: f"<|im_start|>{(t and t[0]) or ''}\n{(t and t[1]) or ''}<|im_end|>\n"
+    for key, chosen, rejected in rows:
+        row = found[key]
+        left, right = [turn(t) for t in chosen], [turn(t) for t in rejected]
+        n = next((i for i, (p, q) in enumerate(zip(left, right)) if p != q), min(len(left), len(right)))
+        assert (row.n_common, row.prompt, row.chosen, row.rejected) == (n, "".join(left[:n]), "".join(left[n:]), "".join(right[n:]))
+        for text, mask, turns in ((row.chosen, row.chosen_mask, chosen[n:]), (row.rejected, row.rejected_mask, rejected[n:])):
+            spans = [text[s.start : s.start + s.length] for s in mask]
+            assert spans == [turn(t)[len("<|im_start|>assistant\n") : -1] for t in turns if t and t[0] == "assistant"]
+    assert preference.preference_format(frame.limit(0)).count() == 0
+
+
 def test_reply_pairs(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "z"), (1, 0, None, None), (1, 1, "assistant", "b"),
             (2, 0, "assistant", "c"), (4, 0, "user", "n"), (5, 0, "assistant", "m"), (None, 0, "user", "x")]
