@@ -189,6 +189,37 @@ ORACLES: dict[str, str] = {
             c.mask as chosen_mask, r.mask as rejected_mask
         from texts c join texts r using (conv_id) join common using (conv_id) where c.side = 'c' and r.side = 'r'
     """,
+    "op7_suffix_dedup": """
+        with texts as (
+            select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+        ), cut as (
+            select doc_id, part, substr(h, 1000 * part + 1, 1198) as piece
+            from (select *, unnest(range(0, len(h) // 1000 + 1)) as part from texts)
+        ), strings as (
+            select doc_id, 500 * part + s as s, md5_number(substr(piece, 2 * s - 1, 200)) as k
+            from (select *, unnest(range(1, least(501, len(piece) // 2 - 98))) as s from cut)
+        ), firsts as (
+            select k, min({'doc': doc_id, 'at': s}) as f from strings group by k having count(*) > 1
+        ), again as (
+            select doc_id, s from strings join firsts using (k) where doc_id <> f.doc or s <> f.at
+        ), edges as (
+            select *, s > lag(s, 1, -1000) over (partition by doc_id order by s) + 100 as new from again
+        ), numbered as (
+            select *, sum(new::int) over (partition by doc_id order by s) as span from edges
+        ), spans as (
+            select doc_id, min(s) as a, max(s) + 100 as b from numbered group by doc_id, span
+        ), pieces as (
+            select doc_id, lag(b, 1, 1) over (partition by doc_id order by a) as a, a as b from spans
+            union all
+            select doc_id, coalesce(max(b), 1), any_value(len(h)) // 2 + 1 from texts left join spans using (doc_id) group by doc_id
+        ), kept as (
+            select doc_id, string_agg(substr(h, 2 * a - 1, 2 * (b - a)), '' order by a) as kept, sum(b - a) as n, count(*) as n_pieces
+            from pieces join texts using (doc_id) group by doc_id
+        )
+        select doc_id, (len(h) // 2)::bigint as n_bytes, (len(h) // 2 - n)::bigint as n_removed,
+            (n_pieces - 1)::bigint as n_spans, sha256(unhex(kept)) as kept_sha256
+        from texts join kept using (doc_id)
+    """,
     "op12_near_embeddings": """
         with recursive usable as (
             select vec_id, embedding::double[] as v from embeddings

@@ -169,7 +169,8 @@ def top_k(
 
     Components are floor(scale * x); ties go to smaller ids; fewer rows give fewer results. Vectors
     are compared within their dimension. Rows that share an id are separate candidates, but none for
-    a query of that id. Products have to fit into a long.
+    a query of that id. Query rows that share an id are one query: the products of all of them are ranked together, so a candidate
+    can come once for each. Products have to fit into a long.
     """
     if k < 1:
         raise ValueError("k is at least one")

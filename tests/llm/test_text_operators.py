@@ -425,3 +425,24 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "source"]
     found = sorted((str(x.doc_id), (x.text or "").lower()) for x in out.collect())
     assert found == sorted([*(("None", x) for x in t[:3]), ("5", t[3]), ("5", t[4]), ("6", t[5]), ("8", t[6]), ("9", "")])
+
+
+def test_stages_keep_own_columns_and_marks(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(27)
+    passage, end = prose(40, r), " \ufffe \ufffd1 " + prose(30, r)
+    # the second bytes of both letters before the passage are equal, so one letter is cut through
+    texts = ["q\ufffdr " + prose(30, r) + "é" + passage + "\ufffe0\ufffe1", "\ufffd ĩ" + passage + end, "", None]
+    made = ("score", "offending", "_a", "_b", "n_units", "n_removed", "n_spans", "kept", "leaks")
+    rows = [(i, t, "s", *(f"{c} {i}" for c in made)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in made))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such question?\nnone")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "source", *made]
+        assert all(x[c] == f"{c} {x.doc_id}" for x in docs.collect() for c in made)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    found = {x.doc_id: x.text for x in docs.collect()}
+    assert found[0] == texts[0] and len(found) == 3
+    assert found[1] == "\ufffd " + end

@@ -67,3 +67,10 @@ def test_random_small(spark):
     rows = [(i, [r.choice([-0.5, 0.0, 0.5]) for _ in range(3)]) for i in range(90)]
     found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, bucket_rows=7)
     assert sorted(map(tuple, found.collect())) == brute(rows, 20)
+
+
+def test_query_rows_of_one_id_are_ranked_together(spark):
+    rows = [(20, [1.0, 0.0]), (20, [-1.0, 0.0]), (2, [0.5, 0.25]), (3, [0.25, 1.0])]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, k=3)
+    found = [(x.query_id, x.rank, x.vec_id, x.score) for x in out.orderBy("rank").collect()]
+    assert found == [(20, 1, 2, 2048), (20, 2, 3, 1024), (20, 3, 3, -1024)]
