@@ -26,6 +26,7 @@ from termloom.session import shared_folder
 from termloom.sources.interest import read_interest, read_interest_lines
 from termloom.session import stored as stored_once
 from termloom.sinks import reports
+from termloom.sinks.months import merge_scores, read_months
 from termloom.sinks.tables import append_keywords, append_scores
 from termloom.sources.sheets import read_sheet
 from termloom.sources.suggestions import decode_suggestions
@@ -331,6 +332,24 @@ def _(spark, sf_dir):
     return read_scores(spark, table, "").select("keyword", "geo", "month", "interest_score")
 
 
+@query("scores_compacted", f"""
+select o_orderpriority as keyword, case o_orderstatus when 'F' then '' when 'O' then 'FR' else 'DE' end as geo,
+  cast(month(o_orderdate) as int) as month, count(o_totalprice) as n, {_mean('o_totalprice')} as interest_score,
+  cast(arg_max(o_totalprice, (o_orderkey % 5) * 1000000000000 + o_orderkey) as double) as last_score
+from orders group by 1, 2, 3""")
+def _(spark, sf_dir):
+    table = shared_folder(spark, "months")
+    status = F.col("o_orderstatus")
+    rows = _read(spark, sf_dir, "orders").select(
+        F.when(status == "F", "").when(status == "O", "FR").otherwise("DE").alias("geo"),
+        F.col("o_orderpriority").alias("keyword"), F.month("o_orderdate").alias("month"),
+        F.col("o_totalprice").alias("interest_score"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 5).alias("number"),
+    )
+    for number in range(5):
+        merge_scores(rows.where(F.col("number") == number), table, geo=None, compact_after=2)
+    return read_months(spark, table)
+
+
 # --- scans and batches ----------------------------------------------------------------
 
 
@@ -812,6 +831,11 @@ def _(spark, sf_dir):
     return diagnostics.word_frequency(_open_keywords(spark, sf_dir))
 
 
+@query("word_frequency_pruned", f"{_WORDS} select word, n from counted order by n desc, first limit 15")
+def _(spark, sf_dir):
+    return diagnostics.frequent_words(_open_keywords(spark, sf_dir))
+
+
 @query("word_counts", f"{_WORDS} select word, n from counted")
 def _(spark, sf_dir):
     return diagnostics.word_frequency(_open_keywords(spark, sf_dir), top=None)

@@ -9,6 +9,7 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.numbering import assign_batches, numbered
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.seasonality import export_scores, interest_requests, store_monthly_scores
+from termloom.sinks import months
 from termloom.sinks.tables import append_scores
 from termloom.sources.interest import read_interest, read_interest_lines
 from termloom.sources.tables import read_scores
@@ -175,3 +176,37 @@ def test_landed_lines_unfold_in_one_scan(spark, tmp_path):
     means = {(r.keyword, r.month): r.interest_score for r in monthly_average(long, ["keyword"], batch="batch").collect()}
     # the later batch of a holds a missing value only, and replaces the earlier one whole
     assert means == {("a", 1): None, ("b", 1): 4.5, ("c", 1): None, ('o"dd.name', 2): 3.0}
+
+
+def test_months_add_up_over_appends_and_snapshots(spark, tmp_path):
+    table, rows = str(tmp_path / "months"), []
+    schema = "keyword string, geo string, month int, interest_score double, ord long"
+    assert months.read_months(spark, table).count() == 0
+    for number in range(9):
+        own = [(f"k{i % 3}", ["", "FR", None][i % 2 * (1 + number % 2)], i % 4 + 1, [i * 1.25 + number, None, float("nan")][i % 7 // 5], i) for i in range(40)]
+        rows += [(number, *x) for x in own]
+        frame = spark.createDataFrame(own, schema)
+        months.merge_scores(frame, table, geo=None, compact_after=4)
+        folders = months._folders(spark, table)
+        assert len(months._current(folders)) <= 5 and len(folders["append"]) <= 8
+    assert len(folders["snapshot"]) == 2 and min(folders["append"]) > 3  # what the first snapshot was made of is gone
+    # a write that broke off counts for nothing, and its number is taken again
+    broken = tmp_path / "months" / "append-9" / "market=FR"
+    broken.mkdir(parents=True)
+    frame.limit(1).write.mode("overwrite").parquet(str(broken / "part"))
+    wanted = {}
+    for number, keyword, geo, month, score, ord_ in sorted(rows, key=lambda x: (x[0], x[5])):
+        entry = wanted.setdefault((keyword, geo or "", month), [0, 0.0, None])
+        if score is not None and score == score:
+            entry[0], entry[1], entry[2] = entry[0] + 1, entry[1] + score, score
+
+    def found(geo=None):
+        return {(x.keyword, x.geo, x.month): [x.n, x.interest_score, x.last_score] for x in months.read_months(spark, table, geo).collect()}
+
+    means = {k: [n, round(total / n, 2) if n else None, last] for k, (n, total, last) in wanted.items()}
+    assert found() == means
+    assert found("") == {k: v for k, v in means.items() if k[1] == ""}
+    months.merge_scores(frame.limit(0), table, geo=None)
+    months.compact_months(spark, table)
+    months.compact_months(spark, table)
+    assert found("FR") == {k: v for k, v in means.items() if k[1] == "FR"} and len(months._current(months._folders(spark, table))) == 1

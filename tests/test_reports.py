@@ -152,3 +152,19 @@ def test_routes_are_complete_and_disjoint(review):
     counts = route_counts(matched_categories(review)).first()
     assert counts.total == counts.no_match + counts.conflict + counts.single == review.count()
     assert matched_categories(review).select(F.count("route")).first()[0] == review.count()
+
+
+def test_frequent_words_equal_the_whole_count(spark):
+    import random
+
+    from termloom.operators.diagnostics import frequent_words, word_frequency
+
+    r = random.Random(31)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 400}" for _ in range(r.randrange(0, 12))) + " de") for i in range(600)]
+    rows += [(700 + i, f"tie{i % 9} tie{(i + 3) % 9}") for i in range(90)] + [(900, None), (901, ""), (902, "  ")]
+    frame = spark.createDataFrame(rows, "ord long, keyword string")
+    for top in (1, 15, 40, 1000):
+        wanted = [tuple(x) for x in word_frequency(frame, top=top).collect()]
+        for slots in (1, 7, 256, 1 << 20):
+            assert [tuple(x) for x in frequent_words(frame, top=top, slots=slots).collect()] == wanted
+    assert frequent_words(frame.limit(0)).count() == 0
