@@ -20,6 +20,7 @@ from termloom.operators import diagnostics, intent, keyed, language, numbering,
 from termloom.operators.frontier import query_frontier
 from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.noise import route_noise
+from termloom.operators.rulebook import rule_hits
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.curate import curate
 from termloom.session import shared_folder
@@ -796,6 +797,24 @@ def _(spark, sf_dir):
     return routed.select("id", "matched_categories", "route")
 
 
+@query("rules_from_table", f"""
+with rules as (
+  select cast(item_id as int) as number, nullif(regexp_extract(lower(text), '([a-z]+ [a-z]+)', 1), '') as phrase from benchmark
+), marked as materialized (
+  select doc_id as id, regexp_replace(lower(text), '([a-z0-9_\\p{{L}}\\p{{N}}]+)', '<\\1>', 'g') as words from documents
+), found as (
+  select id, number from marked join rules on contains(words, '<' || replace(phrase, ' ', '> <') || '>')
+)
+select doc_id as id, coalesce(string_agg(cast(number as varchar), ' ' order by number), '') as hits
+from documents left join found on doc_id = id group by 1""")
+def _(spark, sf_dir):
+    rules = _read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("int").alias("number"), F.regexp_extract(F.lower("text"), "([a-z]+ [a-z]+)", 1).alias("phrase")
+    )
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("keyword"))
+    return rule_hits(docs, rules).select("id", F.array_join("hits", " ").alias("hits"))
+
+
 @query("rule_conflict_counts", f"""{_PACK_CONFLICTS} select count(*) as total,
   count(*) filter (route = 'no_match') as no_match, count(*) filter (route = 'conflict') as conflict,
   count(*) filter (route = 'single') as single from routed""")

@@ -114,3 +114,29 @@ def test_nearly_all_fixed_rules_are_searched_together():
     assert [p for _, p in NOISE.open_rules] == [r"what (does|do) .+ mean\b", r"\btravel to$"]
     assert len(ALL_TIERS.searches) == 2
     assert len(fixed.INFORMATIONAL) == 117
+
+
+def test_rules_of_a_table_hit_like_a_rule_table(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from termloom.functions.rules import RuleTable
+    from termloom.operators.rulebook import rule_hits
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choices(["ab", "é", "x1", "_", "ñu", "o"], k=r.randrange(1, 3)))
+    phrases = sorted({r.choice([" ", "-", "'", "  "]).join(word() for _ in range(r.randrange(1, 4))) for _ in range(300)})
+    many = phrases + [f"term{i} of{i % 7}" for i in range(10_000)]
+    texts = ["".join(word().upper() + r.choice([" ", "-", "'", "  ", "\n", ". "]) for _ in range(r.randrange(0, 25))) for _ in range(200)]
+    texts += [None, "", " ", "...", "term9999 of3", "xterm9 of2", "(Term9 of2)", "-".join(["ab"] * 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, keyword string")
+    rules = spark.createDataFrame([*enumerate(many), (20_000, None), (20_001, ""), (20_002, "-ab")], "number int, phrase string")
+    found = {x.id: x.hits for x in rule_hits(docs, rules).collect()}
+    table = RuleTable([("c", rf"\b{p}\b") for p in phrases])
+    wanted = docs.select("id", F.array_sort(F.coalesce(table.hits(F.lower("keyword")), F.array())).alias("hits"))
+    wanted = {x.id: x.hits for x in wanted.collect()}
+    assert len(found) == len(texts)
+    assert {i: [n for n in hits if n < len(phrases)] for i, hits in found.items()} == wanted
+    assert [found[i][-1:] for i in (204, 206)] == [[len(phrases) + 9999], [len(phrases) + 9]] and found[205] == found[200] == []
+    assert rule_hits(docs, rules.limit(0)).where(F.size("hits") > 0).count() == 0 and rule_hits(docs.limit(0), rules).count() == 0
