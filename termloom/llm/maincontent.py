@@ -335,10 +335,12 @@ def main_content(
     """
     pages = pages.drop(*[c for c in ("text", "n_chars") if c in pages.columns and c != html_column])
     page = F.col(html_column).cast("string")
-    marked = pages.select(page.alias("html"), F.xxhash64(F.col(id_column).cast("string")).alias("o")).where(
-        F.col("html").rlike(r"(?i)<(article|main)[\s>]")
-    )
-    sample = marked.orderBy("o", F.xxhash64("html")).limit(fit_pages)
+    keyed = pages.select(
+        page.alias("html"), F.xxhash64(F.col(id_column).cast("string")).alias("o"), F.xxhash64(page).alias("h")
+    ).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+    # the pages are chosen by their numbers alone, so that no task gathers pages; at most ``fit_pages`` numbers are broadcast
+    chosen = keyed.select("o", "h").distinct().orderBy("o", "h").limit(fit_pages)
+    sample = keyed.join(F.broadcast(chosen), ["o", "h"], "left_semi").dropDuplicates(["o", "h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
