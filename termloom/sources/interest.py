@@ -15,14 +15,15 @@ def read_interest(
 
     Batches hold different keywords, so their columns are merged, and a keyword has rows only in a batch
     that holds a value of it. ``batch`` is the number of a folder ``batch=<n>``; without such folders it is the path of a file's
-    folder, so that later names are later batches.
+    folder, so that later names are later batches. Only which batch holds which keyword is broadcast, one row per column of a
+    batch, so the series stay where they are read and no task gathers those of a keyword.
     """
     wide = spark.read.option("mergeSchema", True).parquet(path)
     if "batch" not in wide.columns:
         wide = wide.withColumn("batch", F.regexp_replace("_metadata.file_path", "/[^/]*$", ""))
     long = unpivot_interest(wide, date, partial, ["batch"])
     held = long.where(F.col("value").isNotNull()).select("batch", "keyword").distinct()
-    return long.join(held, ["batch", "keyword"], "left_semi").select(date, "batch", "keyword", "value")
+    return long.join(F.broadcast(held), ["batch", "keyword"], "left_semi").select(date, "batch", "keyword", "value")
 
 
 def read_interest_lines(

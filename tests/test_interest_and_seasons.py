@@ -9,6 +9,7 @@ from termloom.operators.interest import monthly_average, unpivot_interest
 from termloom.operators.numbering import assign_batches, numbered
 from termloom.operators.seasons import monthly_matrix, season_average, season_summary
 from termloom.plans.seasonality import export_scores, interest_requests, store_monthly_scores
+from termloom.session import settings
 from termloom.sinks import months
 from termloom.sinks.tables import append_scores
 from termloom.sources.interest import read_interest, read_interest_lines
@@ -210,3 +211,17 @@ def test_months_add_up_over_appends_and_snapshots(spark, tmp_path):
     months.compact_months(spark, table)
     months.compact_months(spark, table)
     assert found("FR") == {k: v for k, v in means.items() if k[1] == "FR"} and len(months._current(months._folders(spark, table))) == 1
+
+
+def test_series_are_not_dealt_out_by_keyword(spark, tmp_path):
+    """A batch has few keywords, so the rows of one would be a task's."""
+    landed = str(tmp_path / "landed")
+    rows = spark.range(20).select(F.current_date().alias("date"), F.col("id").cast("double").alias("w"), F.lit(False).alias("isPartial"))
+    rows.write.parquet(f"{landed}/batch=0")
+    rows.select("date", F.lit(None).cast("double").alias("w"), F.col("w").alias("v"), "isPartial").write.parquet(f"{landed}/batch=1")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        series = read_interest(spark, landed)
+        plan = series._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        found = {(r.batch, r.keyword): r["count"] for r in series.groupBy("batch", "keyword").count().collect()}
+    assert found == {(0, "w"): 20, (1, "v"): 20}
