@@ -4,6 +4,9 @@ A key may be held by a third of all rows. The smallest ``order`` of a key is a p
 and reduced inside every task before the shuffle; its row is then found by key and ``order`` together, which spreads the
 rows of a hot key over all tasks. So there is no sort by key, no window, and no task that receives a key's rows.
 
+The rows so found are as many as the keys, and Spark's estimate of their size may be hundreds of times too low, as behind an
+exploded array; so both sides are always dealt out by a merge join, and no task ever holds all of them.
+
 ``order`` has to be unique inside a key; rows that share the smallest one all come out.
 """
 
@@ -21,7 +24,7 @@ def _matching(rows: DataFrame, picked: DataFrame, columns: list[str], how: str =
     """Rows that agree with a picked one in all of the columns; a missing value agrees with a missing one."""
     renamed = picked.select(*[F.col(name).alias(f"_of_{name}") for name in columns])
     same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in columns]
-    return rows.join(renamed, functools.reduce(Column.__and__, same), how)
+    return rows.join(renamed.hint("merge"), functools.reduce(Column.__and__, same), how)
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
@@ -76,5 +79,5 @@ def marked_new(
     fresh = new_keys(landed, stored, keys, order)
     renamed = fresh.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, order)], F.lit(True).alias("_fresh"))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, order)]
-    joined = landed.join(renamed, functools.reduce(Column.__and__, same), "left")
+    joined = landed.join(renamed.hint("merge"), functools.reduce(Column.__and__, same), "left")
     return joined.select(*incoming.columns, F.coalesce("_fresh", F.lit(False)).alias(name))

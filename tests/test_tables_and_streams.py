@@ -309,3 +309,13 @@ def test_recent_keys_pass_once_and_late_rows_are_dropped(spark, tmp_path):
     assert found == {"a", "b", "c"} and held == 1  # the first keys are forgotten
     assert run(("late", "fr", 6, "2026-01-01 11:00:00"), ("a", "fr", 7, "2026-01-01 13:30:00"))[0] == {"a", "b", "c"}
     assert read_keywords(spark, table).count() == 3
+
+
+def test_rows_of_keys_are_never_broadcast(spark, payloads, tmp_path):
+    # the estimate of what is exploded from payloads is far below its size
+    payloads.write.parquet(str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    plan = first_spelling(decode_suggestions(landed), ["lang", "root_seed"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = marked_new(payloads, payloads.limit(1), ["seed"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
