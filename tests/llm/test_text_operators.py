@@ -6,6 +6,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,3 +447,15 @@ def test_stages_keep_own_columns_and_marks(spark, tmp_path):
     found = {x.doc_id: x.text for x in docs.collect()}
     assert found[0] == texts[0] and len(found) == 3
     assert found[1] == "\ufffd " + end
+
+
+def test_toxicity_holds_few_words_at_once(monkeypatch):
+    """What is made of the words takes many times their room, so a batch is taken in small chunks."""
+    most = []
+    plain = toxicity.bags_of
+    monkeypatch.setattr(toxicity, "bags_of", lambda data, bounds: most.append(len(data)) or plain(data, bounds))
+    texts = ["some plain words. " * 1000] * 300
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(1), toxicity.BIAS)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(300)), "text": texts})
+    (found,) = toxicity._score(model, iter([batch]))
+    assert found.num_rows == 300 and max(most) <= 1 << 19 and sum(most) == 300 * 18_000
