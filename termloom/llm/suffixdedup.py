@@ -17,6 +17,8 @@ from termloom.llm.repeats import Rule, remove_repeats
 
 #: Bytes of a window and of a minimiser; changes of ``gram`` change no result.
 WINDOW, GRAM = 100, 32
+#: Strings whose transform is built together, unless one bucket has more; changes no result.
+PORTION = 1_024
 
 
 def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         which, at = which[lengths[which] >= j], at[lengths[which] >= j]
         # a stable sort of the symbols puts the suffixes, each longer by its symbol, in order
         bwt = cells.astype(np.uint8)
-        source = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
+        source = np.argsort(bwt, kind="stable")[n - len(which) :]  # a zero for each string that is used up
         new = np.zeros(len(cells), bool)
         new[at] = True
         inserted = new[source]
@@ -60,13 +62,13 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
         at = n + fresh
         out = np.empty(n + len(source), kind)
         out[:n] = cells[:n]
-        out[n:][~inserted] = cells[n:]
+        np.place(out[n:], np.logical_not(inserted, out=inserted), cells[n:])
         out[at] = before(which, j)
         # common prefixes next to what was inserted: one more than the least between the two sources
-        touched = inserted
-        touched[1:] |= new[source[:-1]]
-        touched = np.flatnonzero(touched)[::-1]
-        touched = touched[touched > 0]
+        touched = np.empty(2 * len(fresh), np.int64)
+        touched[::2], touched[1::2] = fresh, fresh + 1
+        first = np.append(True, touched[1:] != touched[:-1])
+        touched = touched[first & (touched > 0) & (touched < len(source))][::-1]
         low, high = source[touched - 1], source[touched]
         same = bwt[low] == bwt[high]
         out[n + touched[~same]] &= kind(255)
@@ -95,6 +97,18 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 def _by_common_prefix(
     rule: Rule, strings: list[bytes], keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, windows: np.ndarray
 ) -> list[np.ndarray]:
+    """Whole buckets, whose strings stand together, go through the rounds in portions whose arrays fit the processor's cache."""
+    again: list[np.ndarray] = []
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)).tolist()
+    at = 0
+    for to in ends:
+        if to - at >= PORTION or to == ends[-1]:
+            again += _portion(rule, strings[at:to], docs[at:to], starts[at:to], windows[at:to])
+            at = to
+    return again
+
+
+def _portion(rule: Rule, strings: list[bytes], docs: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
     number, length, prefix, _ = collection_order(strings)
     again = [np.zeros(n, bool) for n in windows.tolist()]
     # a group: neighbours with a whole window in common

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from termloom.llm import repeats, suffixdedup
 from termloom.llm.bytesview import super_kmers
 from termloom.llm.suffixdedup import collection_order, suffix_dedup
 from termloom.llm.superkmer import substring_dedup
@@ -104,3 +105,24 @@ def test_super_kmers_cover_every_window_once():
     starts, counts, _ = super_kmers(values, bounds, 12, 4)
     covered = [s + i for s, n in zip(starts, counts) for i in range(n)]
     assert covered == [s for a, b in zip(bounds, bounds[1:]) for s in range(a, b - 11)]
+
+
+def test_buckets_go_through_the_rounds_in_portions(monkeypatch):
+    """A portion holds whole buckets, in which all equal windows stand."""
+    draw = np.random.default_rng(3)
+    rule = repeats.Rule(4, 2, words=False, other_document=False)
+    keys = np.sort(draw.integers(0, 12, 60))
+    strings = [bytes((2 * k + draw.integers(0, 2, n)).astype(np.uint8)) for k, n in zip(keys.tolist(), draw.integers(4, 9, 60))]
+    docs, starts = np.arange(60), np.zeros(60, np.int64)
+    windows = np.array([len(x) - 3 for x in strings])
+    sizes = []
+    plain = suffixdedup.collection_order
+    monkeypatch.setattr(suffixdedup, "collection_order", lambda x: sizes.append(len(x)) or plain(x))
+    monkeypatch.setattr(suffixdedup, "PORTION", 8)
+    found = suffixdedup._by_common_prefix(rule, strings, keys, docs, starts, windows)
+    assert len(sizes) > 3 and sum(sizes) == len(found) == 60
+    for i, mask in enumerate(found):
+        assert len(mask) == windows[i]
+        for o, again in enumerate(mask.tolist()):
+            same = [(j, p) for j in range(60) for p in range(windows[j]) if strings[j][p : p + 4] == strings[i][o : o + 4]]
+            assert again == ((i, o) > min(same))
