@@ -13,7 +13,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +33,10 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and of those that are encoded at once.
 BLOCK_BYTES, ENCODE_BYTES = 4 << 20, 1 << 19
 RADIXES, FAN, CHUNK = 32, 64, 1 << 14
+#: Parts of texts whose ids a process remembers at most, and their characters; both are forgotten together.
+PARTS, PART_CHARS = 1 << 18, 1 << 22
+#: Characters of parts that are encoded side by side.
+LINE_CHARS = 1_000
 SPILLED = (
     "block long, radix int, heads array<binary>, records binary, "
     "pos int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
@@ -72,8 +79,41 @@ def bounds_of(ends: np.ndarray, counts: np.ndarray) -> list[int]:
     return np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
 
 
+#: One space between two characters that no tokenizer takes for white space.
+CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
+#: What may stand on both sides of a ``CUT``.
+ENDS = re.compile("[^\\s\u180e](?s:.*[^\\s\u180e])?\\Z")
+
+
+def cut_alike(first: bytes, second: bytes) -> bool:
+    """Whether both tokenizers give a text the ids of its parts one by one, cut in front of every ``CUT``.
+
+    True if the first one splits by the byte-level expression, none of whose matches holds a space behind another character, and the
+    second one merges pairs of text that it does not change into pieces none of which holds one either. Of any other kind nothing is known.
+    """
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    a = json.loads(first)
+    level, model = a.get("pre_tokenizer") or {}, a.get("model") or {}
+    plain = level.get("type") == "ByteLevel" and level.get("use_regex") is True and level.get("add_prefix_space") is False
+    plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not a.get("normalizer") and not a.get("truncation")
+    plain = plain and not a.get("padding") and all(x.get("special") for x in a.get("added_tokens") or [])
+    b = sentencepiece_model_pb2.ModelProto.FromString(second)
+    norm, kind = b.normalizer_spec, type(b).SentencePiece
+    plain = plain and b.trainer_spec.model_type == type(b.trainer_spec).BPE and not b.trainer_spec.treat_whitespace_as_suffix
+    plain = plain and not norm.precompiled_charsmap and not norm.normalization_rule_tsv and not norm.remove_extra_whitespaces
+    plain = plain and norm.add_dummy_prefix and norm.escape_whitespaces
+    return plain and not any(x.type in (kind.USER_DEFINED, kind.UNUSED) or re.search("[^▁]▁", x.piece) for x in b.pieces)
+
+
 class Encoders:
-    """Both tokenizers and the bytes of their entries."""
+    """Both tokenizers and the bytes of their entries.
+
+    A text is encoded in parts, words mostly, and a part that is remembered is not encoded again; texts whose
+    tokens do not give them back, and all texts if the tokenizers are not ``cut_alike``, are encoded whole.
+    """
 
     def __init__(self, first: bytes, second: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,9 +134,71 @@ class Encoders:
         self.a, self.b = Spelling(a_bytes), Spelling(b_bytes)
         # each id with each of the marks that may follow it, at 3 * id + mark
         self.marked = Spelling([b"%d%c" % (i, mark) for i in range(max(len(a_bytes), len(b_bytes))) for mark in b",|;"])
+        self.cut_alike = cut_alike(first, second)
+        self.forget()
+
+    def forget(self) -> None:
+        """Each part has a number, and per side ids and how many; a part of another spelling has none."""
+        self.numbers: dict[str, int] = {}
+        self.chars = 0
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.sizes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def learn(self, parts: list[str]) -> None:
+        """Parts that can stand side by side are encoded as lines of some, whose ids are told apart by the parts' bytes."""
+        lines: list[list[str]] = [[]]
+        alone, size = [], 0
+        for part in parts:
+            if not ENDS.match(part):
+                alone.append(part)
+                continue
+            if size > LINE_CHARS:
+                lines.append([])
+                size = 0
+            lines[-1].append(part)
+            size += len(part)
+        pairs = self.encode_whole([" ".join(x) for x in lines])
+        told = [i for i, pair in enumerate(pairs) if len(pair[0])]
+        alone += [part for line, pair in zip(lines, pairs) if not len(pair[0]) for part in line]
+        known = [part for i in told for part in lines[i]]
+        ends = np.cumsum(np.array([len(x.encode()) + 1 for x in known], np.int64))
+        single = self.encode_whole(alone)
+        self.numbers.update(zip(known + alone, range(len(self.numbers), len(self.numbers) + len(parts))))
+        self.chars += sum(map(len, parts))
+        for side, spelling in ((0, self.a), (1, self.b)):
+            ids = np.concatenate([np.zeros(0, np.int32), *(pairs[i][side] for i in told)])
+            upto = np.searchsorted(np.cumsum(spelling.sizes[ids]), ends, "right")
+            self.ids[side] = np.concatenate([self.ids[side], ids, *(pair[side] for pair in single)])
+            self.sizes[side] = np.concatenate([self.sizes[side], np.diff(upto, prepend=0), [len(pair[side]) for pair in single]]).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; none where a side's bytes are not those of a space and the text."""
+        if not self.cut_alike:
+            return self.encode_whole(texts)
+        split = [CUT.split(text) for text in texts]
+        parts = list(itertools.chain.from_iterable(split))
+        new = [x for x in dict.fromkeys(parts) if x not in self.numbers]
+        if len(self.numbers) + len(new) > PARTS or self.chars + sum(map(len, new)) > PART_CHARS:
+            self.forget()
+            new = list(dict.fromkeys(parts))
+        if new:
+            self.learn(new)
+        numbers = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
+        counts = np.array([len(x) for x in split], np.int64)
+        sides = []
+        for ids, sizes in zip(self.ids, self.sizes):
+            own = sizes[numbers]
+            ends = np.cumsum(own)
+            at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - ends + own, own)
+            at += np.arange(len(at))
+            sides.append((ids[at], bounds_of(ends, counts)))
+        unlike = np.bincount(np.repeat(np.arange(len(texts)), counts), self.sizes[0][numbers] == 0, len(texts))
+        out = [tuple(ids[at[i] : at[i + 1]] for ids, at in sides) for i in range(len(texts))]
+        for i in np.flatnonzero(unlike).tolist():
+            out[i] = self.encode_whole([texts[i]])[0]
+        return out
+
+    def encode_whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         firsts = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         sides = [[np.array(x.ids, np.int32) for x in firsts]]
         del firsts

@@ -1,4 +1,6 @@
 import hashlib
+import json
+import random
 from collections import Counter
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from termloom.llm import queries
+from termloom.llm import alignment, queries
 from termloom.llm.alignment import FIRST, SECOND, TOKENIZERS, align, head_run, merged, pack, read_head, unpack, with_best
 
 A = Tokenizer.from_file(f"{TOKENIZERS}/{FIRST}")
@@ -129,3 +131,34 @@ def test_runs_merge_like_a_counter():
     assert [x for t in told for x in t[2].tolist()] == [int(total[k] == best[k >> 32]) for k in keys.tolist()]
     arrays = [np.array([], np.int64), np.array([255, 0]), np.array([1 << 40, 3]), np.arange(70000)]
     assert all((x == y).all() for x, y in zip(unpack(pack(*arrays)), arrays))
+
+
+def test_parts_give_the_ids_of_whole_texts_and_are_encoded_once(monkeypatch):
+    files = [open(f"{alignment.TOKENIZERS}/{name}", "rb").read() for name in (alignment.FIRST, alignment.SECOND)]
+    encoders = alignment.Encoders(*files)
+    assert encoders.cut_alike
+    draw = random.Random(1)
+    letters = list("aabe  ''  st.é中😀▁\u0085  ᠎​\t\n\r\x1c\x00́<>12　") + ["<|endoftext|>", "</s>", "<0x41>"]
+    texts = ["", " ", "a ▁ b", "<|endoftext|> a", "a <s> b"] + ["".join(draw.choices(letters, k=draw.randint(1, 40))) for _ in range(2000)]
+    for found, whole in zip(encoders.encode(texts), encoders.encode_whole(texts)):
+        assert [x.tolist() for x in found] == [x.tolist() for x in whole]
+    encoded = []
+    plain = encoders.encode_whole
+    monkeypatch.setattr(encoders, "encode_whole", lambda x: encoded.extend(x) or plain(x))
+    for _ in range(50):
+        assert len(encoders.encode(["some words, told again", "told again some words,"])) == 2
+    assert sum(map(len, encoded)) < 50
+    monkeypatch.setattr(alignment, "PARTS", 3)
+    encoders.encode(["one two three", "four five"])
+    encoders.encode(["six seven"])
+    assert len(encoders.numbers) == 2
+
+
+def test_other_tokenizers_encode_whole_texts():
+    files = [open(f"{alignment.TOKENIZERS}/{name}", "rb").read() for name in (alignment.FIRST, alignment.SECOND)]
+    other = json.loads(files[0])
+    other["pre_tokenizer"]["use_regex"] = False  # pairs may be merged across words
+    other = json.dumps(other).encode()
+    assert not alignment.cut_alike(other, files[1])
+    encoders = alignment.Encoders(other, files[1])
+    assert [len(x) for x in encoders.encode(["a b", ""])[1]] == [0, 0] and not encoders.numbers
