@@ -92,14 +92,26 @@ class Rolling:
 
 
 def super_kmers(
-    values: np.ndarray, bounds: np.ndarray, window: int, gram: int
+    values: np.ndarray, bounds: np.ndarray, window: int, gram: int, size: int = 1 << 18
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows that share a minimiser.
 
     A window is ``window`` consecutive values of one document; its minimiser is its leftmost gram
     of ``gram`` values with the smallest hash. Returns per run the first window's start, the number
     of windows, and the minimiser's hash. Equal windows have equal minimisers wherever they stand.
+    Documents are taken in portions of about ``size`` values, whose arrays fit the processor's cache.
     """
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, b in chunks(bounds, size):
+        starts, counts, keys = _super_kmers(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], window, gram)
+        parts.append((starts + bounds[a], counts, keys))
+    starts, counts, keys = (np.concatenate(x) for x in zip(*parts))
+    return starts, counts, keys
+
+
+def _super_kmers(
+    values: np.ndarray, bounds: np.ndarray, window: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     lengths = np.diff(bounds)
     if len(values) < window or not (lengths >= window).any():

@@ -126,3 +126,39 @@ def test_buckets_go_through_the_rounds_in_portions(monkeypatch):
         for o, again in enumerate(mask.tolist()):
             same = [(j, p) for j in range(60) for p in range(windows[j]) if strings[j][p : p + 4] == strings[i][o : o + 4]]
             assert again == ((i, o) > min(same))
+
+
+def test_super_kmers_are_the_same_in_portions():
+    values = np.random.default_rng(2).integers(0, 3, 700)
+    bounds = np.array([0, 0, 4, 90, 90, 300, 310, 311, 700, 700])
+    whole = super_kmers(values, bounds, 12, 4, size=1_000)
+    assert len(whole[0]) > 50
+    for size in (1, 50, 200):
+        for found, wanted in zip(super_kmers(values, bounds, 12, 4, size=size), whole):
+            assert found.tolist() == wanted.tolist()
+
+
+def test_a_round_inserts_several_bytes_of_a_string(monkeypatch):
+    """As many sorts as a string has symbols, not bytes."""
+    draw, sorts, plain = np.random.default_rng(4), [], np.argsort
+    strings = [bytes(draw.integers(97, 100, 168).astype(np.uint8)) for _ in range(20)]
+    monkeypatch.setattr(np, "argsort", lambda x, **how: sorts.append(len(x)) or plain(x, **how))
+    collection_order(strings)
+    assert 0 < len(sorts) <= 168 // suffixdedup.SYMBOL + 1
+
+
+@pytest.mark.parametrize("n", [40, 800])
+def test_collection_order_of_many_symbols(n):
+    """Of more symbols, too, than 16 bits number; strings of any length, some equal from a place on."""
+    draw = np.random.default_rng(n)
+    strings = [bytes(draw.integers(1, 245, size).astype(np.uint8)) for size in draw.integers(0, 200, n)]
+    strings += [a[: len(a) // 2] + b for a, b in zip(strings, strings[1:])][: n // 4] + [strings[0], b""]
+    number, length, prefix, bwt = collection_order(strings)
+    text = [strings[i][len(strings[i]) - m :] for i, m in zip(number.tolist(), length.tolist())]
+    wanted = sorted((s[len(s) - m :], i) for i, s in enumerate(strings) for m in range(len(s) + 1))
+    assert list(zip(text, number.tolist())) == wanted
+    for a, b, same in zip(text, text[1:], prefix[1:].tolist()):
+        assert a[:same] == b[:same] and len(a[:same]) == same and a[same : same + 1] != b[same : same + 1] or a == b
+        assert a != b or same == len(a)
+    before = [s[len(s) - m - 1] + 1 if m < len(s) else 0 for s, m in ((strings[i], m) for i, m in zip(number, length))]
+    assert bwt.tolist() == before
